@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Hash-partitions rows before CPU-heavy work when a table arrives in fewer splits than the cluster has cores."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+def spread(df: DataFrame) -> DataFrame:
+    """Redistributes rows before CPU-heavy work only where the table arrives in fewer splits than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
