@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm.copies import copy_groups, record_key
 from corvane.llm.distinctive import best_term, term_scores
 from corvane.llm.fusion import best_item, fuse_scores
+from corvane.llm.tokenize import encode_texts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +25,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_term(term_scores(_read(spark, sf_dir, "postings"), _read(spark, sf_dir, "doc_len")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, questions = copy_groups(_read(spark, sf_dir, "qa"), "qa_id", record_key(ordered=["question"]))
+    _, facts = copy_groups(_read(spark, sf_dir, "claims"), "claim_id", record_key(exact=["predicate"], swappable=["subject", "object"]))
+    both = questions.withColumn("lane", F.lit("qa")).unionByName(facts.withColumn("lane", F.lit("claims")))
+    return both.select("lane", "first_id", "copy_id")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:].split("_")[0].isdigit()}
 
