@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corvane.llm.copies import copy_groups, record_key
 from corvane.llm.distinctive import best_term, term_scores
 from corvane.llm.fusion import best_item, fuse_scores
+from corvane.llm.leakage import leaks
+from corvane.llm.mojibake import repair_texts
 from corvane.llm.tokenize import encode_texts
 
 
@@ -36,6 +38,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_texts(_read(spark, sf_dir, "documents")).select("doc_id", "recovery")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:].split("_")[0].isdigit()}
 
