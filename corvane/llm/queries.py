@@ -12,6 +12,7 @@ from corvane.llm.distinctive import best_term, term_scores
 from corvane.llm.fusion import best_item, fuse_scores
 from corvane.llm.leakage import leaks
 from corvane.llm.mojibake import repair_texts
+from corvane.llm.split import split_plan, split_texts
 from corvane.llm.tokenize import encode_texts
 
 
@@ -34,6 +35,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("lane", "first_id", "copy_id")
 
 
+def _items(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [("doc", _read(spark, sf_dir, "site_docs"), "doc_id", "body"), ("chunk", _read(spark, sf_dir, "chunks"), "chunk_id", "text")]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, chunks = (split_plan(df, i, t).select(F.lit(kind).alias("item_kind"), F.col(i).alias("item_id"), "boundary") for kind, df, i, t in _items(spark, sf_dir))
+    return docs.unionByName(chunks)
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, chunks = (split_texts(df, i, t).withColumnRenamed(i, "item_id").withColumn("item_kind", F.lit(kind)) for kind, df, i, t in _items(spark, sf_dir))
+    return docs.unionByName(chunks).select("item_kind", "item_id", "piece", "words", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"))
 
