@@ -12,6 +12,7 @@ from corvane.llm.distinctive import best_term, term_scores
 from corvane.llm.fusion import best_item, fuse_scores
 from corvane.llm.leakage import leaks
 from corvane.llm.mojibake import repair_texts
+from corvane.llm.neighbours import nearest, similar_pairs
 from corvane.llm.split import split_plan, split_texts
 from corvane.llm.tokenize import encode_texts
 
@@ -35,6 +36,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("lane", "first_id", "copy_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(nearest(_read(spark, sf_dir, "vectors"), k=8), 0.90)
+
+
+def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "vectors"), k=5)
+
+
 def _items(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
     return [("doc", _read(spark, sf_dir, "site_docs"), "doc_id", "body"), ("chunk", _read(spark, sf_dir, "chunks"), "chunk_id", "text")]
 
