@@ -13,6 +13,7 @@ from corvane.llm.fusion import best_item, fuse_scores
 from corvane.llm.leakage import leaks
 from corvane.llm.mojibake import repair_texts
 from corvane.llm.neighbours import nearest, similar_pairs
+from corvane.llm.pairs import broken_pairs
 from corvane.llm.split import split_plan, split_texts
 from corvane.llm.tokenize import encode_texts
 
@@ -29,6 +30,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_term(term_scores(_read(spark, sf_dir, "postings"), _read(spark, sf_dir, "doc_len")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(_read(spark, sf_dir, "qa"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, questions = copy_groups(_read(spark, sf_dir, "qa"), "qa_id", record_key(ordered=["question"]))
     _, facts = copy_groups(_read(spark, sf_dir, "claims"), "claim_id", record_key(exact=["predicate"], swappable=["subject", "object"]))
