@@ -19,10 +19,10 @@ FILLERS = set("a q answer answers question questions asked ask you your so well
 YES_NO = set("yes no oui non ja nein sí si never always jamais toujours nie immer nunca siempre".split())
 #: Words that show a language.
 FUNCTION_WORDS = {
-    "en": set("the of and is are was to for in that when with who which what does do how why at by it its not from on your our be has have can will this these there while every each than then only".split()),
-    "fr": set("le la les l des du d de et est sont une un que qu qui pour dans par avec sur à il elle ne n pas ce cette chez quand pourquoi comment puis je faut où se s en au aux plus sans mais si on nous vous y".split()),
-    "de": set("der die das den dem des und ist sind ein eine einen einer nicht wird mit für von zu zum auf wenn wer was wie warum ich kann man sich bis bei im in es am darf muss sollte aus noch nach seit weil wo".split()),
-    "es": set("el la los las de del y es son una un que para por con no se cuando cómo quién qué está están su al más en lo si pero hay debe solo según sin porque también muy después dónde cuál".split()),
+    "en": set("a an the of and is are was to for in that when with who which what does do how why at by it its not from on your our be has have can will this these there while every each than then only".split()),
+    "fr": set("le la les l des du d de et est sont une un que qu qui pour dans par avec sur à il elle ne n pas ce cette chez quand pourquoi comment puis je faut où se s en au aux plus sans mais si on nous vous y expliquez décrivez explique quel quelle quels quelles".split()),
+    "de": set("der die das den dem des und ist sind ein eine einen einer nicht wird mit für von zu zum auf wenn wer was wie warum ich kann man sich bis bei im in es am darf muss sollte aus noch nach seit weil wo erkläre erklären beschreibe welche welcher welches".split()),
+    "es": set("el la los las de del y es son una un que para por con no se cuando cómo quién qué está están su al más en lo si pero hay debe solo según sin porque también muy después dónde cuál explica describe cuántos cuántas".split()),
     "pt": set("o a os as de da do das dos e é são uma um que para por com não se quando como quem está ao mais em na no nas nos mas também já foi sem muito porque".split()),
     "it": set("il lo la i gli le di della del e è sono una un che per con non si quando come chi dove più in al ma anche nel nella perché questo".split()),
     "nl": set("de het een en van is zijn dat die niet voor met op te wanneer hoe wie waarom bij er om aan ook maar naar nog worden".split()),
@@ -227,11 +227,11 @@ def in_other_language(question: str, answer: str) -> bool:
         return False
     q, a = language_scores(question), language_scores(plain)
     own = max(q, key=q.get)
-    if q[own] < 2 or sorted(q.values())[-2] >= q[own]:
+    if not q[own] or sorted(q.values())[-2] >= q[own]:
         return False
     other = max(a, key=a.get)
     total = len(re.findall(r"\p{L}+", plain))
-    return other != own and a[other] >= 3 and a[other] >= 2 * a[own] and a[other] >= 0.2 * total
+    return other != own and a[other] >= 3 + a[own] and a[other] >= 1.5 * a[own] + 2 and a[other] >= 0.12 * total
 
 
 def is_refusal(answer: str) -> bool:

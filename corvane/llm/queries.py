@@ -11,6 +11,7 @@ from corvane.llm.copies import copy_groups, record_key
 from corvane.llm.distinctive import best_term, term_scores
 from corvane.llm.fusion import best_item, fuse_scores
 from corvane.llm.leakage import leaks
+from corvane.llm.markup import clean_bodies
 from corvane.llm.mojibake import repair_texts
 from corvane.llm.neighbours import nearest, similar_pairs
 from corvane.llm.pairs import broken_pairs
@@ -34,6 +35,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(_read(spark, sf_dir, "qa"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_bodies(_read(spark, sf_dir, "site_docs")).select("doc_id", F.explode("markup").alias("markup"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, questions = copy_groups(_read(spark, sf_dir, "qa"), "qa_id", record_key(ordered=["question"]))
     _, facts = copy_groups(_read(spark, sf_dir, "claims"), "claim_id", record_key(exact=["predicate"], swappable=["subject", "object"]))
