@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.urls import normal_path
+from corvane.operators.skew import exact_medians, exact_ranks
+from corvane.session import cut
 
 #: How much a user's rating weighs.
 RATING_WEIGHT = {1: 2.0, 2: 1.75, 3: 1.5, 4: 1.25}
@@ -71,17 +73,13 @@ def relevance_metrics(results: DataFrame, labels: DataFrame, cutoffs: tuple[int,
     return out.select("query_id", "first_rank", F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)).alias("mrr"), *hits, F.coalesce(F.col("_dcg") / F.col("_ideal"), F.lit(0.0)).alias("ndcg"))
 
 
-def nearest_rank(df: DataFrame, group: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """(group…, p): the value at position round(share * (n - 1)), halves to even. Counts of distinct values are
-    ordered per group, so the rows themselves are never gathered."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.withColumn("_upto", F.sum("_n").over(running)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
-    at = F.bround(F.lit(share) * (F.col("_all") - 1), 0)
-    return rows.filter(F.col("_upto") > at).groupBy(*group).agg(F.min(value).alias("p"))
+def latency_report(df: DataFrame, group: list[str], value: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """(group…, runs, mean, median, p95) of a timing column; p95 is the value at round(0.95 * (runs - 1)), halves to even.
 
-
-def latency_report(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group…, runs, mean, median, p95) of a timing column."""
-    base = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("runs"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"))
-    return base.join(nearest_rank(df, group, value).withColumnRenamed("p", "p95"), group)
+    Medians and ranks are exact; groups over `hot_rows` rows are narrowed down by counts instead of being gathered.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.to_json(F.struct(*group)).alias("_k"), F.col(value).cast("double").alias("_v"))
+    rows = cut(rows)
+    base = rows.groupBy("_k", *group).agg(F.count(F.lit(1)).alias("runs"), F.avg("_v").alias("mean"))
+    slim = rows.select("_k", "_v")
+    return base.join(exact_medians(slim, "_k", "_v", hot_rows, "median").drop("rows"), "_k").join(exact_ranks(slim, "_k", "_v", 0.95, hot_rows, "p95").drop("rows"), "_k").drop("_k")

@@ -56,6 +56,19 @@ def exact_medians(df: DataFrame, key: str, value: str, hot: int, out: str = "med
     return small.unionByName(busy.join(found, key).select(key, "rows", F.col("_median").alias(out)))
 
 
+def exact_ranks(df: DataFrame, key: str, value: str, share: float, hot: int, out: str = "value") -> DataFrame:
+    """(key, rows, out): each group's value at position round(share * (rows - 1)) from 0, halves to even. See exact_medians."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    at = f"cast(bround({share}D * (rows - 1), 0) as bigint)"
+    busy = cut(counts.filter(F.col("rows") > hot))
+    small = df.join(F.broadcast(busy.select(key)), key, "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.count(F.lit(1)).alias("rows"))
+    small = small.select(key, "rows", F.expr(f"_v[cast({at} as int)]").alias(out))
+    if busy.isEmpty():
+        return small
+    found = _select(df.select(key, value), key, value, busy.withColumn("_lo", F.expr(at)).withColumn("_hi", F.expr(at)), hot)
+    return small.unionByName(busy.join(found, key).select(key, "rows", F.col("_median").alias(out)))
+
+
 def _select(df: DataFrame, key: str, value: str, groups: DataFrame, hot: int) -> DataFrame:
     """(key, _median) of the hot groups by ranks _lo and _hi, counted from 0."""
     done: list[DataFrame] = []
