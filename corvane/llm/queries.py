@@ -13,6 +13,7 @@ from corvane.llm.fusion import best_item, fuse_scores
 from corvane.llm.leakage import leaks
 from corvane.llm.markup import clean_bodies
 from corvane.llm.mojibake import repair_texts
+from corvane.llm.oracles import oracle_sql  # noqa: F401
 from corvane.llm.neighbours import nearest, similar_pairs
 from corvane.llm.pairs import broken_pairs
 from corvane.llm.split import split_plan, split_texts
@@ -82,7 +83,3 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:].split("_")[0].isdigit()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
