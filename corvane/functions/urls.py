@@ -52,5 +52,5 @@ def recency(date: Column | str, now: float, most: float = 0.18, half_life: float
     """1 + most * 2^(-age in years / half_life); 1 where the date can't be read, June where it has no month. now is a year."""
     year, month = year_month(date)
     then = year + (F.coalesce(month, F.lit(6)) - F.lit(0.5)) / F.lit(12.0)
-    age = F.greatest(F.lit(now) - then, F.lit(0.0))
+    age = F.when(then > F.lit(now), F.lit(0.0)).otherwise(F.lit(now) - then)
     return F.coalesce(F.lit(1.0) + F.lit(most) * F.pow(F.lit(2.0), -age / F.lit(half_life)), F.lit(1.0))

@@ -96,7 +96,8 @@ def s_recency(d: str) -> str:
     month = f"CASE WHEN strlen({d}) >= 7 THEN TRY_CAST(substr({d}, 6, 2) AS INT) END"
     month = f"CASE WHEN ({month}) BETWEEN 1 AND 12 THEN ({month}) ELSE 6 END"
     year = f"CASE WHEN regexp_matches({d}, '^[0-9]{{4}}') THEN TRY_CAST(substr({d}, 1, 4) AS INT) END"
-    return f"coalesce(1 + 0.18::DOUBLE * pow(2::DOUBLE, -greatest({NOW} - (({year}) + (({month}) - 0.5::DOUBLE) / 12), 0) / 4), 1.0)"
+    age = f"({NOW} - (({year}) + (({month}) - 0.5::DOUBLE) / 12))"
+    return f"coalesce(1 + 0.18::DOUBLE * pow(2::DOUBLE, -(CASE WHEN {age} < 0 THEN 0 ELSE {age} END) / 4), 1.0)"
 
 
 def s_merge(pieces: str, limit: int, sep: str) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +53,36 @@ def yaml_list(front: Column | str, key: str) -> Column:
     return F.when(raw.rlike(r"(?s)^\[.*\]$"), inline).when(raw.isNotNull(), F.array(raw)).otherwise(F.array().cast("array<string>"))
 
 
+def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(path, source_path, length) of all files under root with one of the extensions, whatever their case.
+
+    Spark's own readers skip names that begin with an underscore, which content systems use for index files and posts, so the
+    names (not the contents) are listed by the driver.
+    """
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File and f.extension.lower() in extensions]
+    cut_off = len(base.rstrip("/")) + 1
+    rows = sorted((f.path, f.path[cut_off:], f.size) for f in found)
+    return spark.createDataFrame(rows, "path string, source_path string, length long")
+
+
 def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md", "markdown")) -> DataFrame:
-    """(source_path, content) of all files under root with one of the extensions, whatever their case; paths are relative."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(list(extensions)))
-    base = root.rstrip("/").removeprefix("file:") + "/"
-    relative = F.expr("substring(_p, instr(_p, _b) + char_length(_b))")
-    return files.withColumn("_p", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).withColumn("_b", F.lit(base)).select(relative.alias("source_path"), F.decode("content", "UTF-8").alias("content"))
+    """(source_path, content) of the files of list_files; text that isn't UTF-8 is null. Files are read by the workers."""
+    files = list_files(spark, root, extensions)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = fs.FileSystem.from_uri(root)[0] if "://" in root else fs.LocalFileSystem()
+        for pdf in batches:
+            texts = []
+            for path in pdf["path"]:
+                with store.open_input_stream(path) as f:
+                    try:
+                        texts.append(f.read().decode("utf-8"))
+                    except UnicodeDecodeError:
+                        texts.append(None)
+            yield pd.DataFrame({"source_path": pdf["source_path"], "content": texts})
+
+    return files.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(run, "source_path string, content string")
 
 
 def _toml_fields(fronts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -85,6 +109,7 @@ def parse_files(files: DataFrame, cms: str = "hugo") -> tuple[DataFrame, DataFra
     p = PROFILES[cms]
     yaml, toml = F.substring("content", 1, 3) == "---", F.lit(p.toml) & (F.substring("content", 1, 3) == "+++")
     fence = F.when(yaml, F.lit("---")).when(toml, F.lit("+++"))
+    unread = files.filter("content is null").select("source_path", F.lit("not UTF-8").alias("error"))
     rows = files.filter(F.col("content").isNotNull() & ~T.is_draft("content")).withColumn("_fence", fence)
     closing = F.expr("locate(concat('\n', _fence), content, 4)")
     rows = rows.withColumn("_end", F.when(F.col("_fence").isNotNull(), closing))
@@ -108,7 +133,7 @@ def parse_files(files: DataFrame, cms: str = "hugo") -> tuple[DataFrame, DataFra
         body = T.strip_shortcodes(body)
     if p.mdx_noise:
         body = T.strip_mdx(body)
-    errors = rows.filter("_error is not null").select("source_path", F.col("_error").alias("error"))
+    errors = rows.filter("_error is not null").select("source_path", F.col("_error").alias("error")).unionByName(unread)
     docs = rows.filter("_error is null").select("source_path", F.coalesce(fields["title"], missing).alias("title"), url.alias("url"), fields["description"].alias("description"), F.coalesce(fields["tags"], F.array().cast("array<string>")).alias("tags"), fields["date"].alias("date"), T.strip_markdown(body).alias("body"))
     return docs.filter(T.strip("body") != ""), errors
 
@@ -123,8 +148,7 @@ def _toml_fields_typed():
 
 def content_stats(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md", "markdown", "mdx", "txt", "rst", "html")) -> DataFrame:
     """One row (files, bytes) of the text files under a folder; the files' contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(list(extensions))).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return list_files(spark, root, extensions).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def even_sample(df: DataFrame, order: list[str], count: int) -> DataFrame:
