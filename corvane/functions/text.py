@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: Unicode white space, as a character class without its brackets.
 SPACE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
 
 #: What is stripped from Markdown, in this order, as (pattern, replacement).
@@ -40,21 +41,22 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.regexp_replace(col(c), f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def one_space(c: Column | str) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(col(c), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.translate(col(c), SPACES, " " * len(SPACES)), " +", " "))
 
 
 def words(c: Column | str) -> Column:
     """The words of a text: runs without white space."""
-    return F.regexp_extract_all(col(c), F.lit(f"([^{SPACE}]+)"), 1)
+    return F.filter(F.split(F.trim(F.translate(col(c), SPACES, " " * len(SPACES))), " +"), lambda w: w != "")
 
 
 def word_count(c: Column | str) -> Column:
-    return F.size(words(c))
+    plain = F.trim(F.translate(col(c), SPACES, " " * len(SPACES)))
+    return F.when(plain == "", 0).otherwise(F.size(F.split(plain, " +")))
 
 
 def tokens(c: Column | str) -> Column:

@@ -13,13 +13,13 @@ K1, B = 1.2, 0.75
 
 def postings(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, id, tf) of every text."""
-    rows = spread(df.select(id_column, T.tokens(text).alias("_t")).filter("_t is not null"))
+    rows = spread(df.filter(F.col(text).isNotNull()).select(id_column, text)).select(id_column, T.tokens(text).alias("_t"))
     return rows.select(id_column, F.explode("_t").alias("term")).groupBy("term", id_column).agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", id_column, "tf")
 
 
 def lengths(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, dl) of every text, counted in terms."""
-    return spread(df).select(id_column, F.size(T.tokens(text)).alias("dl")).filter("dl >= 0")
+    return spread(df.filter(F.col(text).isNotNull()).select(id_column, text)).select(id_column, F.size(T.tokens(text)).alias("dl"))
 
 
 def corpus_stats(dl: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def search_texts(df: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     """(query_id, id, score, rank) straight from texts: one pass keeps lengths and the counts of query terms only."""
     terms = cut(query_terms(queries))
     wanted = F.array(*[F.lit(r["term"]) for r in terms.select("term").distinct().collect()]).cast("array<string>")
-    rows = spread(df.select(id_column, T.tokens(text).alias("_t")).filter("_t is not null"))
+    rows = spread(df.filter(F.col(text).isNotNull()).select(id_column, text)).select(id_column, T.tokens(text).alias("_t"))
     rows = cut(rows.select(id_column, F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(wanted, t)).alias("_t")))
     hits = rows.select(id_column, "dl", F.explode("_t").alias("term")).groupBy(id_column, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     return top(_scored(hits, None, terms, corpus_stats(rows), document_frequency(hits), id_column), k, id_column)

@@ -588,7 +588,8 @@ _QUESTIONS = [("k", "Does Nipigi Muru know vector ranking?"), ("w", "Who has the
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every claim against each of a stated set of questions, as evidence of one lane."""
     claims = read(spark, sf_dir, "claims").filter("object is not null and subject is not null")
-    return claims.crossJoin(F.broadcast(asked(spark, _QUESTIONS))).select("query_id", "query", "claim_id", F.lit("claims").alias("lane"), T.one_space(F.concat(F.coalesce("subject", F.lit("")), F.lit(": "), A.claim_sentence("predicate", "object"))).alias("text"), F.col("source_url").alias("url"), F.col("confidence").cast("double").alias("raw_score"), "predicate", F.col("claim_id").alias("place"))
+    questions = cut(A.analyse(asked(spark, _QUESTIONS)))
+    return claims.crossJoin(F.broadcast(questions)).select("query_id", "query", "intent", "terms", "yes_no", "claim_id", F.lit("claims").alias("lane"), T.one_space(F.concat(F.coalesce("subject", F.lit("")), F.lit(": "), A.claim_sentence("predicate", "object"))).alias("text"), F.col("source_url").alias("url"), F.col("confidence").cast("double").alias("raw_score"), "predicate", F.col("claim_id").alias("place"))
 
 
 _CLAIM_SENTENCE = """CASE WHEN predicate = 'worked_for' THEN 'Worked for ' || o || '.' WHEN predicate = 'has_skill' THEN 'Has skill ' || o || '.' WHEN predicate LIKE 'years!_%' ESCAPE '!' THEN o || ' of ' || replace(substr(predicate, 7), '_', ' ') || ' experience.' ELSE 'Since age ' || o || ' in ' || replace(substr(predicate, 11), '_', ' ') || '.' END"""

@@ -8,7 +8,7 @@ from corvane.streaming.ingest import ingest_documents
 
 FILES = {
     "posts/toml.md": '+++\ntitle = "A title"\ndate = "2024-01-02"\ndescription = "d"\ntags = ["x", "y"]\n+++\nBody **here**\n',
-    "posts/_index.md": '---\ntitle: "Section"\ntags: [a, 'b']\nempty:\nnext: value\n---\nText {{< note >}}',
+    "posts/_index.md": "---\ntitle: \"Section\"\ntags: [a, 'b']\nempty:\nnext: value\n---\nText {{< note >}}",
     "draft.md": "---\ndraft: true\n---\nno",
     "open.md": "---\ntitle: x\nno end",
     "broken.md": "+++\ntitle = \n+++\nx",
