@@ -229,9 +229,13 @@ def in_other_language(question: str, answer: str) -> bool:
     own = max(q, key=q.get)
     if not q[own] or sorted(q.values())[-2] >= q[own]:
         return False
-    other = max(a, key=a.get)
-    total = len(re.findall(r"\p{L}+", plain))
-    return other != own and a[other] >= 3 + a[own] and a[other] >= 1.5 * a[own] + 2 and a[other] >= 0.12 * total
+    found = re.findall(r"\p{L}+", plain.casefold())
+    for other in a:
+        ours, theirs = FUNCTION_WORDS[own], FUNCTION_WORDS[other]
+        only_theirs, only_ours = sum(w in theirs and w not in ours for w in found), sum(w in ours and w not in theirs for w in found)
+        if other != own and a[other] >= max(3, a[own] + 1, 0.12 * len(found)) and only_theirs >= 2 and only_theirs > 2 * only_ours:
+            return True
+    return False
 
 
 def is_refusal(answer: str) -> bool:
