@@ -230,10 +230,12 @@ def languages_of(body: str) -> list[str]:
 #: Costs by which a block counts as boilerplate (templates, categories, reference lists, navigation) or as content.
 def _block_costs(raw: str, clean: str) -> tuple[float, float]:
     words = len(re.findall(r"\p{L}+", clean))
-    content = min(4.0, 0.4 * words) + 2.0 * bool(re.search(r"[.!?](?:\s|$)", clean)) + 3.0 * bool(re.search("\ue000", raw)) + 3.0 * bool(re.match(r"\s*(?:#{1,6} |=|\\(?:sub)*section)", raw))
+    if not raw.strip():
+        return 0.0, 0.0
+    content = 1.5 * bool(words) + min(4.0, 0.4 * words) + 2.0 * bool(re.search(r"[.!?](?:\s|$)", clean)) + 3.0 * bool(re.search("\ue000", raw)) + 3.0 * bool(re.match(r"\s*(?:#{1,6} |=|\\(?:sub)*section)", raw))
     boiler = 6.0 * bool(re.match(r"\s*(?:\[\[(?:Category|File|Image|Kategorie|Catégorie|Archivo|Fichier|Datei):[^\]]*\]\]|\{\{(?:Infobox|Navbox)[^{}]*\}\}|\[[^\[\]\n]+\]:\s+\S+|\\(?:documentclass|usepackage|begin|end|maketitle)\b[^\n]*|<!DOCTYPE[^>]*>)\s*$", raw)) + 1.5 * (not words)
     links = len(re.findall(r"\]\(|\[\[|<a[\s>]|\\href", raw))
-    return content, boiler + (1.5 if links and words <= 4 * links else 0.0)
+    return content, boiler + (4.0 if links >= 3 and words <= 2 * links else 0.0)
 
 
 def _tidy_line(line: str, found: set[str], wiki_line: bool) -> str:
@@ -308,7 +310,7 @@ def clean_text(body: str) -> tuple[str, list[str]]:
         if "\ue000" not in out:
             break
         out = re.sub("\ue000(\\d+)\ue001", back, out)
-    out = re.sub(r"[ \t]+\n", "\n", out)
+    out = re.sub(r"[ \t]+(?=\n|\Z)", "", out)
     return re.sub(r"\n{3,}", "\n\n", out).strip("\n"), found
 
 

@@ -118,6 +118,11 @@ def test_clean_text(spark):
     assert got == {1: ([], None), 2: ([], ""), 3: ([], "plain\r\n"), 4: (["html"], "x")}
 
 
+def test_boilerplate_goes_and_short_content_stays():
+    body = "[a](/x) | [b](/y) | [c](/z)\n\nReal text stands here for the reader.\n\n* short **one**\n\n[r]: /u/"
+    assert markup.clean_text(body)[0] == "Real text stands here for the reader.\n\n- short one"
+
+
 def test_minimum_cut():
     assert markup.cut_labels([3, 0, 0], [0, 0, 2], [(0, 1, 1), (1, 2, 0.5)]) == [True, True, False]
     n = 4000
