@@ -16,8 +16,8 @@ from corvane.session import cut, spread
 LINKS, LINKS_0, BUILD_BEAM, SEARCH_BEAM = 12, 24, 40, 32
 #: Rows of a shard, queries sent to it at a time, rows on which centroids are fitted, and most centroids.
 SHARD_ROWS, SHARD_QUERIES, TRAIN_ROWS, MOST_CENTROIDS = 8192, 32_768, 20_000, 4096
-#: A query also visits the shards whose border is nearer than this.
-MARGIN = 0.1
+#: A query also visits the shards whose border is nearer than this, or than what ROUTED of the true neighbours of PROBES rows of the sample need.
+MARGIN, ROUTED, PROBES = 0.1, 0.98, 1000
 BATCH = 256
 
 
@@ -191,16 +191,39 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def route(x: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home, visits) of unit vectors: the nearest centroid, and which shards lie within `margin` of crossing a border."""
+def borders(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home, away) of unit vectors: the nearest centroid, and how far the border to each other shard is."""
     sims = x @ centroids.T
     home = sims.argmax(1)
     gaps = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-12))
-    away = (sims[np.arange(len(x)), home][:, None] - sims) / gaps[home]
+    return home, (sims[np.arange(len(x)), home][:, None] - sims) / gaps[home]
+
+
+def route(x: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, visits) of unit vectors: the nearest centroid, and which shards lie within `margin` of crossing a border."""
+    home, away = borders(x, centroids)
     return home, away <= margin
 
 
-def nearest(df: DataFrame, k: int = 5, id_column: str = "vec_id", lane: str = "lane", vector: str = "embedding", size: int = 64, margin: float = MARGIN, shard_rows: int = SHARD_ROWS, shard_queries: int = SHARD_QUERIES) -> DataFrame:
+def fit_margin(sample: np.ndarray, lanes: np.ndarray, centroids: np.ndarray, k: int) -> float:
+    """The margin with which the shards of ROUTED of the k nearest in a sample are visited, at least MARGIN.
+
+    The nearest of the whole table lie closer than those of a sample, so theirs are visited at least as often.
+    """
+    home, needed = borders(sample, centroids)[0], []
+    for lane in np.unique(lanes):
+        own = np.flatnonzero(lanes == lane)
+        probes, most = own[:: math.ceil(len(sample) / PROBES)], min(k, len(own) - 1)
+        for a in range(0, len(probes) if most else 0, BATCH):
+            part = probes[a : a + BATCH]
+            sims = sample[part] @ sample[own].T
+            sims[part[:, None] == own[None, :]] = -np.inf
+            near = own[np.argpartition(-sims, most - 1, axis=1)[:, :most]]
+            needed.append(np.take_along_axis(borders(sample[part], centroids)[1], home[near], 1).ravel())
+    return max(MARGIN, float(np.quantile(np.concatenate(needed), ROUTED, method="higher"))) if needed else MARGIN
+
+
+def nearest(df: DataFrame, k: int = 5, id_column: str = "vec_id", lane: str = "lane", vector: str = "embedding", size: int = 64, margin: float | None = None, shard_rows: int = SHARD_ROWS, shard_queries: int = SHARD_QUERIES) -> DataFrame:
     """(lane, id, neighbour, similarity, place): about the k vectors of the same lane with the highest cosine similarity.
 
     Vectors that are null, not of `size` values, all zero or hold a null, NaN or infinite value are left out, as are null ids;
@@ -209,8 +232,8 @@ def nearest(df: DataFrame, k: int = 5, id_column: str = "vec_id", lane: str = "l
 
     Vectors are sharded by their nearest centroid (fitted on TRAIN_ROWS rows at most; every row is indexed). A shard over
     `shard_rows` rows is split at random, its queries into blocks, so no task gets more than about shard_rows and
-    shard_queries rows. Each shard builds a graph of its own; a query visits its own shard and those it nearly belongs to,
-    and the shards' results are merged. Row counts by shard, at most MOST_CENTROIDS a lane, are all the driver sees besides the sample.
+    shard_queries rows. Each shard builds a graph of its own; a query visits its own shard and those it nearly belongs to
+    (borders within `margin`, which is fitted to the k nearest of the sample where it isn't given), and the shards' results are merged. Row counts by shard, at most MOST_CENTROIDS a lane, are all the driver sees besides the sample.
     """
     spark = df.sparkSession
     ok = (F.size("v") == size) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -223,16 +246,18 @@ def nearest(df: DataFrame, k: int = 5, id_column: str = "vec_id", lane: str = "l
     rows = cut(rows)
     total = rows.count()
     kind = df.schema[id_column].dataType.simpleString()
-    few = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < TRAIN_ROWS).select("v").limit(TRAIN_ROWS).toPandas()
+    few = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < TRAIN_ROWS).select("lane", "v").limit(TRAIN_ROWS).toPandas()
     if not len(few):
         return spark.createDataFrame([], f"lane string, id {kind}, neighbour {kind}, similarity float, place int")
-    centroids = fit_centroids(np.stack(few["v"]).astype(np.float32), min(MOST_CENTROIDS, math.ceil(total / shard_rows)))
+    sample = np.stack(few["v"]).astype(np.float32)
+    centroids = fit_centroids(sample, min(MOST_CENTROIDS, math.ceil(total / shard_rows)))
+    reach = fit_margin(sample, few["lane"].to_numpy(), centroids, k) if margin is None else margin
     shared = spark.sparkContext.broadcast(centroids)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                home, near = route(np.stack(pdf["v"]).astype(np.float32), shared.value, margin)
+                home, near = route(np.stack(pdf["v"]).astype(np.float32), shared.value, reach)
                 yield pd.DataFrame({"lane": pdf["lane"], "id": pdf["id"], "v": pdf["v"], "home": home.astype(np.int32), "near": [np.flatnonzero(r).astype(np.int32) for r in near]})
 
     routed = cut(spread(rows).mapInPandas(visits, f"lane string, id {kind}, v array<float>, home int, near array<int>"))

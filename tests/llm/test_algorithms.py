@@ -132,3 +132,17 @@ def test_nearest_against_brute_force(spark):
         assert set(rows(neighbours.similar_pairs(found, 0.95), "vec_a", "vec_b")) == want
         assert found.filter("id = neighbour or place > 8").count() == 0
     assert neighbours.nearest(df.limit(0), size=8).count() == 0
+
+
+def test_far_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(12, 64))[rng.integers(0, 12, 4000)] * 0.5 + rng.normal(size=(4000, 64))).astype(np.float32)
+    lanes = np.where(np.arange(4000) % 3, "a", "b")
+    df = spark.createDataFrame([(i, str(lanes[i]), x[i].tolist()) for i in range(4000)], "vec_id long, lane string, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.where(lanes[:, None] == lanes[None, :], unit @ unit.T, -2)
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j)) for i in range(4000) for j in np.argpartition(-sims[i], 5)[:5]}
+    for shard in (2000, 400):
+        found = set(rows(neighbours.nearest(df, k=5, shard_rows=shard), "id", "neighbour"))
+        assert len(found & want) >= 0.95 * len(want)
