@@ -227,13 +227,18 @@ def languages_of(body: str) -> list[str]:
     return [x for x in LANGUAGES if x in found]
 
 
+#: A line of table marks, rules or separators only.
+BARE = re.compile(r"\s*(?:\{\||\|[-+}])?[-=_*~|·•«»‹›/]*\s*")
+
+
 #: Costs by which a block counts as boilerplate (templates, categories, reference lists, navigation) or as content.
 def _block_costs(raw: str, clean: str) -> tuple[float, float]:
     words = len(re.findall(r"\p{L}+", clean))
     if not raw.strip():
         return 0.0, 0.0
-    content = 1.5 * bool(words) + min(4.0, 0.4 * words) + 2.0 * bool(re.search(r"[.!?](?:\s|$)", clean)) + 3.0 * bool(re.search("\ue000", raw)) + 3.0 * bool(re.match(r"\s*(?:#{1,6} |=|\\(?:sub)*section)", raw))
-    boiler = 6.0 * bool(re.match(r"\s*(?:\[\[(?:Category|File|Image|Kategorie|Catégorie|Archivo|Fichier|Datei):[^\]]*\]\]|\{\{(?:Infobox|Navbox)[^{}]*\}\}|\[[^\[\]\n]+\]:\s+\S+|\\(?:documentclass|usepackage|begin|end|maketitle)\b[^\n]*|<!DOCTYPE[^>]*>)\s*$", raw)) + 1.5 * (not words)
+    bare = not words and bool(BARE.fullmatch(clean))  # figures and signs are content
+    content = 1.5 * (not bare) + min(4.0, 0.4 * words) + 2.0 * bool(re.search(r"[.!?](?:\s|$)", clean)) + 3.0 * bool(re.search("\ue000", raw)) + 3.0 * bool(re.match(r"\s*(?:#{1,6} |=|\\(?:sub)*section)", raw))
+    boiler = 6.0 * bool(re.match(r"\s*(?:\[\[(?:Category|File|Image|Kategorie|Catégorie|Archivo|Fichier|Datei):[^\]]*\]\]|\{\{(?:Infobox|Navbox)[^{}]*\}\}|\[[^\[\]\n]+\]:\s+\S+|\\(?:documentclass|usepackage|begin|end|maketitle)\b[^\n]*|<!DOCTYPE[^>]*>)\s*$", raw)) + 1.5 * bare
     links = len(re.findall(r"\]\(|\[\[|<a[\s>]|\\href", raw))
     return content, boiler + (4.0 if links >= 3 and words <= 2 * links else 0.0)
 

@@ -123,6 +123,14 @@ def test_boilerplate_goes_and_short_content_stays():
     assert markup.clean_text(body)[0] == "Real text stands here for the reader.\n\n- short one"
 
 
+def test_figures_and_signs_are_content():
+    clean = lambda b: markup.clean_text(b)[0]
+    assert clean("**Sales**\n\n| Year | Sold |\n|---|---|\n| 2023 | 14 |\n| 2024 | 17 |\n\nThe table ends here.") == "Sales\n\nYear | Sold\n2023 | 14\n2024 | 17\n\nThe table ends here."
+    assert clean("Winning numbers of the **week**:\n\n- 42\n- 7\n- ✓\n\nThey are drawn daily.") == "Winning numbers of the week:\n\n- 42\n- 7\n- ✓\n\nThey are drawn daily."
+    assert clean("<table>\n<tr>\n<td>3.5</td>\n<td>4.25</td>\n<td>9</td>\n</tr>\n</table>\n<p>The end is here.</p>").split() == ["3.5", "4.25", "9", "The", "end", "is", "here."]
+    assert "2021" not in clean("[2020](/a) [2021](/b) [2022](/c)\n\nReal text stands here for the reader.")
+
+
 def test_minimum_cut():
     assert markup.cut_labels([3, 0, 0], [0, 0, 2], [(0, 1, 1), (1, 2, 0.5)]) == [True, True, False]
     n = 4000
