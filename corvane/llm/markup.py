@@ -38,7 +38,7 @@ COMMAND = re.compile(rf"\\(?:[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{|(?:{_names(BARE_CO
 MARKDOWN = [
     re.compile(p, re.M)
     for p in (
-        r"^[ ]{0,3}#{2,6}[ \t]+\S",
+        r"^[ ]{1,3}#{2,6}[ \t]+\S",
         r"^(?=[^\n]*[^\s=\-|])[ ]{0,3}[^\s#>*+|=\-][^\n]*\n[ ]{0,3}(?:={3,}|-{3,})[ \t]*$",
         r"^[ ]{0,3}(?:[-+]|\d{1,4}[.)])[ \t]+\S",
         r"^[ ]{0,3}>[ \t]?\S",
@@ -69,6 +69,8 @@ WIKI = [
         r"~{4}",
     )
 ]
+#: A Markdown heading or a nested list item of a wiki.
+DEEP = re.compile(r"^#{2,6}[ \t]+\S", re.M)
 SHARED = re.compile(r"^(?:\*+|#+)[ \t]+\S|^-{4,}[ \t]*$", re.M)
 WIKI_INDENTED = re.compile(r"(?m)^ (?=\S).*(?:\n .*)*")
 
@@ -168,6 +170,11 @@ class Page:
         for name in ("markdown", "wiki"):
             if exclusive[name]:
                 self.found.add(name)
+        deep = list(DEEP.finditer(wiki_plain))
+        if deep:
+            starts = [0] + [m.end() for m in re.finditer("\n", wiki_plain)]
+            if any(_place(starts, m.start()) not in self.lines_wiki for m in deep):
+                self.found.add("markdown")
 
     @staticmethod
     def _undoubled(text: str, marks: dict) -> dict:

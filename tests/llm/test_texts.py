@@ -123,6 +123,12 @@ def test_boilerplate_goes_and_short_content_stays():
     assert markup.clean_text(body)[0] == "Real text stands here for the reader.\n\n- short one"
 
 
+def test_deep_marks_go_with_the_rest_of_the_page():
+    assert markup.languages_of("See [[page]]\n\n# one\n## two\n### three") == ["wiki"]
+    assert markup.languages_of("See [page](/p)\n\n## two\n### three") == markup.languages_of("## two") == ["markdown"]
+    assert markup.languages_of("See [[page]]\n\n  ## two") == ["wiki", "markdown"][::-1]
+
+
 def test_figures_and_signs_are_content():
     clean = lambda b: markup.clean_text(b)[0]
     assert clean("**Sales**\n\n| Year | Sold |\n|---|---|\n| 2023 | 14 |\n| 2024 | 17 |\n\nThe table ends here.") == "Sales\n\nYear | Sold\n2023 | 14\n2024 | 17\n\nThe table ends here."
