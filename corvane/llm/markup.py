@@ -31,7 +31,7 @@ INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)((?:(?!\n[ \t]*\n).)+?)(?<!`)\1(?!`)",
 HTML_CODE = re.compile(r"<(pre|code|script|style|xmp|textarea|samp|kbd)(?=[\s>])[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)(?=[\s>])[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 LATEX_CODE = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\])?(.*?)(?:\\end\{\1\}|\Z)|\\(?:verb|lstinline)\*?([^\s\w{*])([^\n]*?)\3", re.S)
-MATH = re.compile(r"\$\$(?!\s*\$)(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$\w])\$(?![\s$])([^$\n]{0,300}?[^\s$\\])\$(?![\d$\w])", re.S)
+MATH = re.compile(r"\$\$(?!\s*\$)(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$\w])\$(?![\s$])([^$\n]*?[^\s$\\])\$(?![\d$\w])", re.S)
 COMMAND = re.compile(rf"\\(?:[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{|(?:{_names(BARE_COMMANDS)})(?![A-Za-z])|begin\b|end\b)")
 
 #: Marks of Markdown and of wikis that no other language here has.
@@ -72,6 +72,7 @@ WIKI = [
 #: A Markdown heading or a nested list item of a wiki.
 DEEP = re.compile(r"^#{2,6}[ \t]+\S", re.M)
 SHARED = re.compile(r"^(?:\*+|#+)[ \t]+\S|^-{4,}[ \t]*$", re.M)
+PLACE = re.compile("\ue000(\\d+)\ue001")
 WIKI_INDENTED = re.compile(r"(?m)^ (?=\S).*(?:\n .*)*")
 
 
@@ -313,15 +314,14 @@ def clean_text(body: str) -> tuple[str, list[str]]:
     content = cut_labels([a for a, _ in costs], [b for _, b in costs], links)
     kept = [t for t, raw, c in zip(tidy, lines, content) if c or not raw.strip()]
 
-    def back(m: re.Match) -> str:
-        how, x = page.kept[int(m[1])]
-        return {"block": "\n```\n" + x.strip("\n") + "\n```\n", "display": "\n$$ " + x + " $$\n", "formula": "$" + x + "$", "gone": ""}.get(how, x)
+    def back(m: re.Match, most: int) -> str:
+        if (k := int(m[1])) >= most:  # what was set aside holds earlier numbers only; others are the body's own characters
+            return m[0]
+        how, x = page.kept[k]
+        x = {"block": "\n```\n" + x.strip("\n") + "\n```\n", "display": "\n$$ " + x + " $$\n", "formula": "$" + x + "$", "gone": ""}.get(how, x)
+        return PLACE.sub(lambda n: back(n, k), x)
 
-    out = "\n".join(kept)
-    for _ in range(3):
-        if "\ue000" not in out:
-            break
-        out = re.sub("\ue000(\\d+)\ue001", back, out)
+    out = PLACE.sub(lambda m: back(m, len(page.kept)), "\n".join(kept))
     out = re.sub(r"[ \t]+(?=\n|\Z)", "", out)
     return re.sub(r"\n{3,}", "\n\n", out).strip("\n"), found
 

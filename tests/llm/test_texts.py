@@ -129,6 +129,19 @@ def test_deep_marks_go_with_the_rest_of_the_page():
     assert markup.languages_of("See [[page]]\n\n  ## two") == ["wiki", "markdown"][::-1]
 
 
+def test_long_formulas_and_deep_nesting():
+    formula = "a_1 + " * 80 + "a_2"
+    assert markup.languages_of(f"The sum ${formula}$ stays.") == ["latex"]
+    assert markup.clean_text(f"The sum ${formula}$ **stays**.")[0] == f"The sum ${formula}$ stays."
+    assert markup.languages_of("It costs $5 " + "and more " * 60 + "or $7.") == []
+    nested = "<!-- a -->Sum $x_1 + <code>b \\verb|c <nowiki>d</nowiki>| e</code>$ here."
+    assert "\ue000" not in markup.clean_text(nested)[0]
+    deep = "Sum $x + `a <code>b \\verb|c <nowiki>d</nowiki> c| b</code> a`$ here."
+    text = markup.clean_text(deep)[0]
+    assert "\ue000" not in text and "d" in text
+    assert markup.clean_text("**b** `\ue0000\ue001`")[0].startswith("b")
+
+
 def test_figures_and_signs_are_content():
     clean = lambda b: markup.clean_text(b)[0]
     assert clean("**Sales**\n\n| Year | Sold |\n|---|---|\n| 2023 | 14 |\n| 2024 | 17 |\n\nThe table ends here.") == "Sales\n\nYear | Sold\n2023 | 14\n2024 | 17\n\nThe table ends here."
