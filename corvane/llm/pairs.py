@@ -71,6 +71,8 @@ REFUSALS = [
     r"\bcomo (?:asistente|modelo|inteligencia)\b[^.!?]*\bno\b|\ben tant qu['’](?:assistante?|IA|intelligence|modèle)\b[^.!?]*\b(?:pas|ne)\b|\bals (?:KI|Assistent\p{L}*|Sprachmodell)\b[^.!?]*\b(?:nicht|keine?n?)\b",
 ]
 REFUSAL = [re.compile(p, re.I) for p in REFUSALS]
+#: Letters of scripts that set no space between words.
+UNBROKEN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def words(text: str) -> list[str]:
@@ -116,18 +118,48 @@ def tiles(question: list[str], answer: list[str], least: int = 2) -> list[bool]:
     return covered
 
 
+def runs(question: list[str], answer: list[str], least: int = 2) -> list[bool]:
+    """As tiles(), from left to right and in linear time: each word starts the longest run of the question that fits there."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(question):
+        places.setdefault(w, []).append(i)
+    covered, at = [False] * len(answer), 0
+    while at < len(answer):
+        best = 0
+        for i in places.get(answer[at], ()):
+            n = 1
+            while i + n < len(question) and at + n < len(answer) and question[i + n] == answer[at + n]:
+                n += 1
+            best = max(best, n)
+        if best >= least:
+            covered[at : at + best] = [True] * best
+        at += max(best, 1)
+    return covered
+
+
 def copies_question(question: str, answer: str) -> bool:
-    """The answer repeats the question, whole or nearly, and adds no content of its own."""
+    """The answer repeats the question, whole or nearly, and adds no content of its own.
+
+    A question of one word, or in a script without word breaks, must be repeated whole, letter by letter. An answer much
+    longer than the question is covered by runs() and may hold nothing else but fillers.
+    """
     q, a = words(question), words(answer)
-    if len(q) < 2 or not a or len(a) > 4 * len(q) + 12:
+    if not q or not a:
         return False
     if q == a:
         return True
-    covered = tiles(q, a)
+    if len(q) < 2 or UNBROKEN.search(question):
+        one, given = "".join(q), "".join(w for w in a if w not in FILLERS or w in q or w in YES_NO)
+        if given and given == one * (len(given) // len(one)):
+            return True
+    if len(q) < 2:
+        return False
+    long = len(a) > 4 * len(q) + 12
+    covered = runs(q, a) if long else tiles(q, a)
     rest = [w for w, c in zip(a, covered) if not c]
     if sum(covered) < 0.85 * len(q) or any(w in YES_NO or w.isdigit() for w in rest if w not in q):
         return False
-    return all(w in FILLERS for w in rest) or len(rest) <= 0.1 * len(a)
+    return all(w in FILLERS for w in rest) or (not long and len(rest) <= 0.1 * len(a))
 
 
 class Structure:

@@ -84,6 +84,14 @@ def test_pairs(question, answer, defect):
     assert pairs.defect_of(question, answer) == defect
 
 
+def test_copied_questions_of_any_length_and_script():
+    asked = "Where does it keep the index?"
+    for question, answer in ((asked, " ".join([asked] * 7)), (asked, "Answer: " + " ".join([asked] * 400)), ("Backups?", "Backups!"), ("Backups?", "backups, backups"), ("索引とは何ですか？", "索引とは何ですか"), ("什么是索引？", "什么是索引什么是索引")):
+        assert pairs.defect_of(question, answer) == "copied_question"
+    for question, answer in ((asked, " ".join([asked] * 7) + " It keeps it in Oslo."), ("Backups?", "Yes, backups."), ("Backups?", "Nightly backups."), ("この索引は必要ですか？", "この索引は必要です。"), ("索引とは何ですか？", "索引とは表です。")):
+        assert pairs.defect_of(question, answer) is None
+
+
 def test_pairs_of_a_table(spark):
     df = spark.createDataFrame([(1, "Why?", None, "x"), (2, None, None, "x"), (3, "Why?", "Because it is so. " * 5000, "x"), (1, "Why?", None, "x")], "qa_id long, question string, answer string, defect string")
     assert sorted((r["qa_id"], r["defect"]) for r in pairs.broken_pairs(df).collect()) == [(1, "empty"), (1, "empty"), (2, "empty")]
