@@ -39,8 +39,8 @@ def parser() -> argparse.ArgumentParser:
     tune.add_argument("content_dir")
     tune.add_argument("--cms", choices=sorted(content.PROFILES), default="hugo")
     tune.add_argument("--eval", required=True)
-    tune.add_argument("--chunk-sizes", type=settings.number_list, default=[192, 256, 320])
-    tune.add_argument("--overlaps", type=settings.number_list, default=[16, 32, 48])
+    tune.add_argument("--chunk-sizes", type=settings.number_list, default=list(pipeline.CHUNK_SIZES))
+    tune.add_argument("--overlaps", type=settings.number_list, default=list(pipeline.OVERLAPS))
     tune.add_argument("--top-k", type=int, default=5)
     tune.add_argument("--mode", choices=pipeline.MODES, default="hybrid")
     for name in ("qa-corpus", "claims-corpus"):

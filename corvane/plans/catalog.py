@@ -16,6 +16,7 @@ from corvane.functions import urls as U
 from corvane.operators import answer as A
 from corvane.operators import chunking as C
 from corvane.operators import embed, evaluate, facts, lexical, ranking
+from corvane.plans import pipeline
 from corvane.session import cut, spread
 
 NOW = 2026.0
@@ -627,20 +628,11 @@ def acceptance_eval(spark, sf_dir):
 
 @named()
 def tune_sweep(spark, sf_dir):
-    """A grid of chunk sizes and overlaps over all pages, judged by keyword search."""
+    """The default grid of chunk sizes and overlaps over all pages, judged by hybrid search."""
     cases = [("1", "release script nightly builds", ["release"], []), ("2", "who looks after the access policy", ["access policy", "owner"], []), ("3", "tag cloud offline reading", [], ["tag cloud"])]
     suite = spark.createDataFrame([(*c, 1.0) for c in cases], "case_id string, query string, must_match_any array<string>, must_include_all array<string>, weight double")
     docs = read(spark, sf_dir, "site_docs").select("doc_id", "title", "url", "body")
-    tried = None
-    for size in (192, 256):
-        for overlap in (16, 32):
-            chunks = C.chunk_documents(docs, size, overlap)
-            chunks = cut(chunks.withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_index")))
-            found = lexical.search_texts(chunks, suite.withColumnRenamed("case_id", "query_id"), 5, "chunk_id")
-            context = evaluate.contexts(found.withColumnRenamed("query_id", "case_id").join(chunks, "chunk_id"), ["case_id"])
-            one = evaluate.evaluate_cases(suite, context).withColumn("chunk_size", F.lit(size)).withColumn("overlap", F.lit(overlap))
-            tried = one if tried is None else tried.unionByName(one)
-    return evaluate.best_settings(evaluate.suite_summary(tried, ["chunk_size", "overlap"]))
+    return pipeline.tune(docs, suite)
 
 
 _RANKED = "SELECT query_id, '/c/' || (chunk_id % 50)::VARCHAR || '/' AS url, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, max(score) AS s FROM search_result WHERE lane = 'judge' AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL))"

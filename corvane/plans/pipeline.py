@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from corvane.session import cut
 from corvane.sources import content, settings, store
 
 MODES, SCOPES = ("hybrid", "semantic", "keyword"), ("all", "chunks", "qa", "claims")
+#: The settings a sweep tries where none are given.
+CHUNK_SIZES, OVERLAPS = (192, 256, 320), (16, 32, 48)
 
 
 def documents(spark: SparkSession, root: str, cms: str = "hugo") -> tuple[DataFrame, DataFrame]:
@@ -112,16 +115,19 @@ def search_with_answer(spark: SparkSession, index: str, queries: DataFrame, now:
     return pages.drop("chunk_id"), A.answers(evidence, subject)
 
 
-def tune(docs: DataFrame, suite: DataFrame, chunk_sizes: list[int], overlaps: list[int], k: int = 5, mode: str = "hybrid", make: Callable[[], embed.Embedder] = embed.hashing_embedder) -> DataFrame:
-    """Each pair of chunk size and overlap, best first, by how a suite of cases does on an index built with it."""
-    queries = suite.select(F.col("case_id").alias("query_id"), "query")
+def tune(docs: DataFrame, suite: DataFrame, chunk_sizes: Sequence[int] = CHUNK_SIZES, overlaps: Sequence[int] = OVERLAPS, k: int = 5, mode: str = "hybrid", make: Callable[[], embed.Embedder] = embed.hashing_embedder) -> DataFrame:
+    """Each pair of chunk size and overlap, best first, by how a suite of cases does on an index built with it.
+    Each case gets as many hits as it asks for (top_k, else k), ranked as search ranks them."""
     limit = F.coalesce("top_k", F.lit(k)) if "top_k" in suite.columns else F.lit(k)
+    queries = cut(suite.select(F.col("case_id").alias("query_id"), "query", limit.alias("_k")))
+    limits = sorted(r["_k"] for r in queries.select("_k").distinct().collect()) or [k]
     tried = None
     for size in chunk_sizes:
         for overlap in overlaps:
             lanes = build_lanes(docs, size, overlap, make=make)
-            hits = retrieve(lanes.__getitem__, queries, mode, 50, make).withColumnRenamed("query_id", "case_id")
-            hits = hits.join(F.broadcast(suite.select("case_id", limit.alias("_k"))), "case_id").filter("rank <= _k")
+            lanes |= {name: cut(lanes[name]) for name in lanes if name != "chunks"} if len(limits) > 1 else {}
+            parts = [retrieve(lanes.__getitem__, queries.filter(F.col("_k") == n).drop("_k"), mode, n, make).select("query_id", "chunk_id", "rank") for n in limits]
+            hits = reduce(DataFrame.unionByName, parts).withColumnRenamed("query_id", "case_id")
             context = evaluate.contexts(hits.join(lanes["chunks"], "chunk_id"), ["case_id"])
             one = evaluate.evaluate_cases(suite, context).select("passed", "score", "weight").withColumn("chunk_size", F.lit(size)).withColumn("overlap", F.lit(overlap))
             tried = one if tried is None else tried.unionByName(one)

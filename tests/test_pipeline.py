@@ -40,3 +40,13 @@ def test_tune(spark):
     best = pipeline.tune(docs, suite, [64, 128], [0, 2], mode="keyword").collect()
     assert [(r["chunk_size"], r["overlap"]) for r in best] == [(64, 0), (64, 2), (128, 0), (128, 2)]
     assert best[0]["passed"] == 1 and best[0]["score"] == 2.0 and chunk_documents(docs).count() == 3
+
+
+def test_tune_gives_each_case_its_own_number_of_hits(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "t", f"/{i}/", None, "pasta" + " last" * (i == 59)) for i in range(60)], "doc_id long, title string, url string, date string, body string")
+    suite = spark.createDataFrame([("1", "pasta", [], ["pasta last"], 1.0, 60), ("2", "pasta", [], ["pasta last"], 1.0, None)], "case_id string, query string, must_match_any array<string>, must_include_all array<string>, weight double, top_k int")
+    best = pipeline.tune(docs, suite, [64], [0], mode="keyword").collect()
+    assert [(r["total"], r["passed"]) for r in best] == [(2, 1)]
+    asked, retrieve = [], pipeline.retrieve
+    monkeypatch.setattr(pipeline, "retrieve", lambda lanes, queries, mode, k, make: asked.append((mode, k)) or retrieve(lanes, queries, mode, k, make))
+    assert pipeline.tune(docs, suite, [64], [0]).count() == 1 and asked == [("hybrid", 5), ("hybrid", 60)]
