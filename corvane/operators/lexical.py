@@ -41,10 +41,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def top(scored: DataFrame, k: int, id_column: str, group: str = "query_id") -> DataFrame:
-    """The k highest scores of each query with their rank from 1; ties by id. NaN counts as the lowest score."""
+def top(scored: DataFrame, k: int | None, id_column: str, group: str = "query_id") -> DataFrame:
+    """The k highest scores of each query with their rank from 1; ties by id. NaN counts as the lowest score; k None ranks all."""
     order = Window.partitionBy(group).orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), id_column)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def _scored(hits: DataFrame, dl: DataFrame | None, terms: DataFrame, stats: DataFrame, df: DataFrame, id_column: str) -> DataFrame:

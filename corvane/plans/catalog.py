@@ -648,7 +648,7 @@ SELECT query_id, f::INT AS first_rank, round(coalesce(1.0::DOUBLE / f, 0), 6) AS
 def relevance_metrics(spark, sf_dir):
     rows = read(spark, sf_dir, "search_result").filter("score is not null and not isnan(score)").withColumn("url", F.concat(F.lit("/C/"), (F.col("chunk_id") % 50).cast("string"), F.lit("/")))
     judged = rows.filter("lane = 'judge'").groupBy("query_id", "chunk_id", "url").agg(F.max("score").alias("score"))
-    ranked = lexical.top(judged, 1_000_000, "chunk_id").select("query_id", "url", "rank")
+    ranked = lexical.top(judged, None, "chunk_id").select("query_id", "url", "rank")
     labels = rows.filter("lane = 'semantic' and score > 0.3").select("query_id", "url", F.when(F.col("score") > 0.5, 2.0).otherwise(1.0).alias("grade"))
     found = evaluate.relevance_metrics(ranked, labels, (1, 5), 5)
     return found.select("query_id", "first_rank", r6("mrr", "mrr"), "hit_at_1", "hit_at_5", r6("ndcg", "ndcg"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import lexical, ranking, skew
 from corvane.operators.embed import embed_texts
@@ -80,3 +81,8 @@ def test_skew_join_equals_join(spark):
     b = sorted((r["id"], r["size"]) for r in left.join(right, "key").collect())
     assert a == b
     assert skew.skew_join(left, right, "key", "n", F.col("id"), 20, "left").count() == 301
+
+
+def test_top_without_a_limit(spark):
+    scored = spark.range(1_000_003).select(F.lit("q").alias("query_id"), F.col("id").alias("chunk_id"), (-F.col("id")).cast("double").alias("score"))
+    assert lexical.top(scored, None, "chunk_id").agg(F.max("rank")).first()[0] == 1_000_003
