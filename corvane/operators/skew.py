@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut
 
-#: No more hot keys than this are ever broadcast: the threshold rises with the number of rows.
-MOST_HOT_KEYS = 50_000
+#: No more hot keys than this are ever broadcast: the threshold rises with the number of rows, to 2 million rows at 10^12.
+MOST_HOT_KEYS = 500_000
 #: Parts into which one round of exact selection divides a hot group.
 SELECT_PARTS = 64
 
@@ -20,6 +20,14 @@ def hot_threshold(total_rows: int, least: int) -> int:
     return max(least, total_rows // MOST_HOT_KEYS + 1)
 
 
+def hot_keys(df: DataFrame, key: str, hot: int) -> DataFrame | None:
+    """(key, rows) of the keys with more than `hot` rows, at most MOST_HOT_KEYS; None where there are none.
+
+    Counts are partial aggregates over the key column alone."""
+    busy = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > hot))
+    return None if busy.isEmpty() else busy
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, rows: str, spread_by: Column, hot: int, how: str = "inner") -> DataFrame:
     """Joins left to the one-row-per-key frame right, whose column `rows` counts the rows left has for the key.
 

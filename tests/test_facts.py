@@ -7,14 +7,15 @@ def objects(text, predicate="worked_for", **about):
 
 
 def test_employers():
-    assert objects("He worked for Acme, Globex, Initech and Umbrella.") == ["Acme", "Globex", "Initech", "Umbrella"]
-    assert set(objects("Companies they worked for or with: Acme, Globex, Initech, Hooli (search), Stark and Wayne")) == {"Acme", "Globex", "Initech", "Hooli", "Stark", "Wayne"}
-    assert objects("She worked with Docker daily.") == []
+    assert objects("From 2011 on Mira worked for Dunlin, Heron and Avocet.") == ["Dunlin", "Heron", "Avocet"]
+    assert set(objects("Places they worked for or with: Plover, Curlew (a mill), Redshank and Knot")) == {"Plover", "Curlew", "Redshank", "Knot"}
+    assert objects("Mira worked with Gradle on most days.") == []
 
 
-def test_resume_lines():
-    text = "Kagi Works (consulting)\nSr. Engineer at Common Cloud (1 year contract)\nWriter at Plain Press\n3. Orbit - search"
-    assert set(objects(text)) == {"Kagi Works", "Common Cloud", "Plain Press", "Orbit"}
+def test_role_lines():
+    assert objects("Surveyor at Tern Harbour") == ["Tern Harbour"]
+    assert objects("Lead Engineer at Sandpiper (two winters)") == ["Sandpiper"]
+    assert objects("Whimbrel Rail (consulting)") == ["Whimbrel Rail"]
 
 
 def test_experience_and_skills():
