@@ -61,7 +61,7 @@ def work_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{checkpoint_dir(spark).rstrip('/')}/corvane-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(release, spark)
+        atexit.register(release, spark, app)
     return _FOLDERS[app]
 
 
@@ -72,9 +72,9 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, app: str | None = None) -> None:
     """Removes what stored() wrote for this application. Frames that read it can't be used any more."""
-    folder = _FOLDERS.pop(spark.sparkContext.applicationId if spark.sparkContext._jsc else "", None)
+    folder = _FOLDERS.pop(app or spark.sparkContext.applicationId, None)
     if folder is None:
         return
     try:
