@@ -63,8 +63,8 @@ def test_term_scores(spark, monkeypatch):
     post = [("the", c, 5, 0) for c in range(40)] + [("rare", 1, 4, 0), ("rare", 1, 4, 9), ("mid", 1, 1, 0), (None, 1, 9, 0), ("zero", 1, 0, 0), ("null", 1, None, 0), ("the", None, 3, 0)]
     lens = [(c, 10) for c in range(40)] + [(1, 10), (50, 0), (2, None)]
     p, d = spark.createDataFrame(post, "term string, chunk_id long, tf int, score int"), spark.createDataFrame(lens, "chunk_id long, dl int")
-    for hot in (5, 100_000):
-        scores = {(r["chunk_id"], r["term"]): r["score"] for r in distinctive.term_scores(p, d, hot_rows=hot).collect()}
+    for hot, most in ((2, 0), (5, 100), (100_000, 0), (100_000, 100)):
+        scores = {(r["chunk_id"], r["term"]): r["score"] for r in distinctive.term_scores(p, d, hot_rows=hot, most_terms=most).collect()}
         assert set(scores) == {(c, "the") for c in range(40)} | {(1, "rare"), (1, "mid")}
         tfn, m = 4 * math.log2(1 + 1.0), 4 / 41
         assert scores[1, "rare"] == pytest.approx((math.log2(1 + m) + tfn * math.log2((1 + m) / m)) / (tfn + 1), rel=0.02)
