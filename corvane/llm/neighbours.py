@@ -7,25 +7,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut, spread
+from corvane.session import cut, spread, stored
 
 #: Links of a node in the upper layers and in the lowest; candidates looked at when building and when searching.
 LINKS, LINKS_0, BUILD_BEAM, SEARCH_BEAM = 12, 24, 40, 32
+#: The same beams where only close pairs are asked for, which stand out from everything else.
+CLOSE_BUILD, CLOSE_SEARCH = 24, 24
 #: Rows of a shard, queries sent to it at a time, rows on which centroids are fitted, and most centroids.
-SHARD_ROWS, SHARD_QUERIES, TRAIN_ROWS, MOST_CENTROIDS = 8192, 32_768, 20_000, 4096
+SHARD_ROWS, SHARD_QUERIES, MOST_CENTROIDS = 8192, 131_072, 4096
+LEAST_TRAIN, TRAIN_ROWS = 20_000, 65_536
 #: A query also visits the shards whose border is nearer than this, or than what ROUTED of the true neighbours of PROBES rows of the sample need.
 MARGIN, ROUTED, PROBES = 0.1, 0.98, 1000
-BATCH = 256
+#: Shards whose sizes are broadcast; more of them are met by a join.
+MOST_SHARDS = 500_000
+BATCH = 1024
 
 
 class Graph:
     """A hierarchical navigable small-world graph over unit vectors, kept as one flat array of neighbours for each layer."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 7) -> None:
-        self.x = np.ascontiguousarray(vectors, np.float32)
+    def __init__(self, vectors: np.ndarray, seed: int = 7, beam: int = BUILD_BEAM) -> None:
+        self.x, self.beam = np.ascontiguousarray(vectors, np.float32), beam
         n = len(self.x)
         draw = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / math.log(LINKS)).astype(int), 6)
@@ -121,12 +128,12 @@ class Graph:
         for layer in range(max(height, int(level.max())), -1, -1):
             here = level >= layer
             if entries is not None and layer <= height:
-                entries, sims = self._search(self.x[batch], layer, entries, sims, BUILD_BEAM if here.any() else 4)
+                entries, sims = self._search(self.x[batch], layer, entries, sims, self.beam if here.any() else 4)
             if not here.any():
                 continue
             own = batch[here]
             m = np.where(here[None, :], mates[here], -np.inf)
-            width = min(BUILD_BEAM // 2, len(batch))
+            width = min(self.beam // 2, len(batch))
             near = np.argpartition(-m, width - 1, axis=1)[:, :width]
             cand, cs = np.where(np.isfinite(np.take_along_axis(m, near, 1)), batch[near], -1), np.take_along_axis(m, near, 1)
             if entries is not None and layer <= height:
@@ -164,10 +171,10 @@ class Graph:
                 s = np.matmul(self.x[c], self.x[part[full]][:, :, None])[:, :, 0]
                 links[part[full]] = self._diverse(c, s, most)
 
-    def query(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def query(self, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of about the k nearest nodes of each query, best first; -1 where the graph is smaller."""
         ids, sims = [], []
-        beam = max(SEARCH_BEAM, 2 * k)
+        beam = max(beam, 2 * k)
         for a in range(0, len(queries), BATCH):
             q = np.ascontiguousarray(queries[a : a + BATCH], np.float32)
             entries, s = self._descend(q, 0)
@@ -223,66 +230,125 @@ def fit_margin(sample: np.ndarray, lanes: np.ndarray, centroids: np.ndarray, k:
     return max(MARGIN, float(np.quantile(np.concatenate(needed), ROUTED, method="higher"))) if needed else MARGIN
 
 
-def nearest(df: DataFrame, k: int = 5, id_column: str = "vec_id", lane: str = "lane", vector: str = "embedding", size: int = 64, margin: float | None = None, shard_rows: int = SHARD_ROWS, shard_queries: int = SHARD_QUERIES) -> DataFrame:
-    """(lane, id, neighbour, similarity, place): about the k vectors of the same lane with the highest cosine similarity.
+def close_margin(least: float, size: int) -> float:
+    """The margin for pairs of at least `least` similarity, whose vectors lie at most d = sqrt(2 - 2 * least) apart.
+
+    Both vectors see the same border between their shards, so one of them is no farther from it than half the part of their
+    difference across it: at most d / 2, and d / (2 * sqrt(size)) on average over directions, of which three are allowed.
+    """
+    d = math.sqrt(max(0.0, 2 - 2 * least))
+    return min(d / 2, 1.5 * d / math.sqrt(size))
+
+
+def _unit(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the usable vectors of a batch."""
+    lists = batch.column("v")
+    right = np.flatnonzero(pc.equal(pc.list_value_length(lists), size).fill_null(False).to_numpy(zero_copy_only=False))
+    x = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    most = np.abs(x).max(axis=1, initial=0.0)
+    ok = np.isfinite(most) & (most > 0)
+    x = x[ok] / most[ok][:, None]
+    return right[ok], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
+def _matrix(values: pd.Series, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.float32).reshape(-1, size)
+
+
+def _usable(df: DataFrame, id_column: str, lane: str, vector: str, size: int) -> DataFrame:
+    """(lane, id, v), one row for each id of a lane: of ids given more than once the smallest usable vector. Only such ids are moved."""
+    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(lane).cast("string"), F.lit("")).alias("lane"), F.col(vector).alias("v")).filter("id is not null")
+    again = cut(rows.groupBy("lane", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if again.isEmpty():
+        return rows
+    ok = (F.size("v") == size) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    one = rows.join(again, ["lane", "id"], "left_semi").filter(ok).groupBy("lane", "id").agg(F.min("v").alias("v"))
+    return rows.join(again, ["lane", "id"], "left_anti").unionByName(one)
+
+
+def nearest(df: DataFrame, k: int = 5, id_column: str = "vec_id", lane: str = "lane", vector: str = "embedding", size: int = 64, least: float | None = None, margin: float | None = None, shard_rows: int = SHARD_ROWS, shard_queries: int = SHARD_QUERIES) -> DataFrame:
+    """(lane, id, neighbour, similarity, place): about the k vectors of the same lane with the highest cosine similarity; with
+    `least`, only those of at least that similarity, for which far shards and wide beams aren't needed.
 
     Vectors that are null, not of `size` values, all zero or hold a null, NaN or infinite value are left out, as are null ids;
     a null lane is a lane of its own. Rows repeated under one id of a lane count once (the smallest vector). Equal vectors
     under other ids are neighbours; ties go to the smaller id. Other columns are ignored. Empty tables give an empty result.
 
     Vectors are sharded by their nearest centroid (fitted on TRAIN_ROWS rows at most; every row is indexed). A shard over
-    `shard_rows` rows is split at random, its queries into blocks, so no task gets more than about shard_rows and
-    shard_queries rows. Each shard builds a graph of its own; a query visits its own shard and those it nearly belongs to
-    (borders within `margin`, which is fitted to the k nearest of the sample where it isn't given), and the shards' results are merged. Row counts by shard, at most MOST_CENTROIDS a lane, are all the driver sees besides the sample.
+    `shard_rows` rows is split at random, its queries into blocks many times as large as what is built for them, so no task
+    gets more than about shard_rows and shard_queries rows. Each shard builds a graph of its own; a query visits its own shard
+    and those it nearly belongs to (borders within `margin`: close_margin(least), or fitted to the k nearest of the sample),
+    and the shards' results are merged. The driver sees the sample only.
     """
     spark = df.sparkSession
-    ok = (F.size("v") == size) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(lane).cast("string"), F.lit("")).alias("lane"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null").filter(ok)
-    rows = rows.groupBy("lane", "id").agg(F.min("v").alias("v"))
-    longest = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    rows = rows.withColumn("m", longest).withColumn("v", F.transform("v", lambda x: x / F.col("m")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("m", norm).select("lane", "id", F.transform("v", lambda x: (x / F.col("m")).cast("float")).alias("v"))
-    rows = cut(rows)
-    total = rows.count()
     kind = df.schema[id_column].dataType.simpleString()
-    few = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < TRAIN_ROWS).select("lane", "v").limit(TRAIN_ROWS).toPandas()
+    rows = spread(_usable(df, id_column, lane, vector, size))
+    total = df.count()
+    n = min(MOST_CENTROIDS, math.ceil(total / shard_rows))
+    train = min(TRAIN_ROWS, max(LEAST_TRAIN, 16 * n))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = _unit(batch, size)
+            yield pa.RecordBatch.from_arrays([batch.column("lane").take(pa.array(at)), _binary(x)], ["lane", "v"])
+
+    few = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < train).mapInArrow(taken, "lane string, v binary").limit(train).toPandas()
     if not len(few):
         return spark.createDataFrame([], f"lane string, id {kind}, neighbour {kind}, similarity float, place int")
-    sample = np.stack(few["v"]).astype(np.float32)
-    centroids = fit_centroids(sample, min(MOST_CENTROIDS, math.ceil(total / shard_rows)))
-    reach = fit_margin(sample, few["lane"].to_numpy(), centroids, k) if margin is None else margin
+    sample = _matrix(few["v"], size)
+    centroids = fit_centroids(sample, n)
+    if margin is None:
+        margin = fit_margin(sample, few["lane"].to_numpy(), centroids, k) if least is None else close_margin(least, size)
     shared = spark.sparkContext.broadcast(centroids)
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                home, near = route(np.stack(pdf["v"]).astype(np.float32), shared.value, reach)
-                yield pd.DataFrame({"lane": pdf["lane"], "id": pdf["id"], "v": pdf["v"], "home": home.astype(np.int32), "near": [np.flatnonzero(r).astype(np.int32) for r in near]})
-
-    routed = cut(spread(rows).mapInPandas(visits, f"lane string, id {kind}, v array<float>, home int, near array<int>"))
-    homes = routed.groupBy("lane", F.col("home").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
-    asks = routed.select("lane", F.explode("near").alias("c")).groupBy("lane", "c").agg(F.count(F.lit(1)).alias("asks"))
-    shape = cut(homes.join(asks, ["lane", "c"]).select("lane", "c", F.ceil(F.col("rows") / shard_rows).cast("int").alias("subs"), F.ceil(F.col("asks") / shard_queries).cast("int").alias("blocks")))
-    shape = F.broadcast(shape)  # at most MOST_CENTROIDS rows a lane
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = _unit(batch, size)
+            for a in range(0, len(at), 4096):
+                part, own = pa.array(at[a : a + 4096]), x[a : a + 4096]
+                home, near = route(own, shared.value, margin)
+                offsets = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
+                near_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(near)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("lane").take(part), batch.column("id").take(part), _binary(own), pa.array(home.astype(np.int32)), near_lists], ["lane", "id", "v", "home", "near"])
+
+    routed = stored(rows.mapInArrow(visits, f"lane string, id {kind}, v binary, home int, near array<int>"))
+    each = routed.select("lane", "home", F.explode("near").alias("c")).groupBy("lane", "c").agg(F.count(F.lit(1)).alias("asks"), F.count_if(F.col("home") == F.col("c")).alias("rows"))
+    shape = cut(each.filter("rows > 0").select("lane", "c", F.ceil(F.col("rows") / shard_rows).cast("int").alias("subs"), F.ceil(F.col("asks") / shard_queries).cast("int").alias("blocks")))
+    if shape.count() <= MOST_SHARDS:
+        shape = F.broadcast(shape)
     parts = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    own = routed.withColumnRenamed("home", "c").join(shape, ["lane", "c"]).withColumn("sub", (parts % F.col("subs")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ask = routed.withColumn("c", F.explode("near")).join(shape, ["lane", "c"]).withColumn("block", ((parts / 7).cast("long") % F.col("blocks")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    both = own.select("lane", "c", "sub", "block", "id", "v", F.lit(True).alias("own")).unionByName(ask.select("lane", "c", "sub", "block", "id", "v", F.lit(False).alias("own")))
+    cells = routed.withColumn("c", F.explode("near")).join(shape, ["lane", "c"])
+    cells = cells.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("subs") * F.col("blocks") - 1)))
+    cells = cells.withColumn("sub", F.expr("cell div blocks").cast("int")).withColumn("block", (F.col("cell") % F.col("blocks")).cast("int"))
+    cells = cells.withColumn("own", (F.col("home") == F.col("c")) & (parts % F.col("subs") == F.col("sub"))).withColumn("ask", (parts / 7).cast("long") % F.col("blocks") == F.col("block"))
+    cells = cells.filter("own or ask").select("lane", "c", "sub", "block", "id", "v", "own", "ask")
+    build, look = (BUILD_BEAM, SEARCH_BEAM) if least is None else (CLOSE_BUILD, CLOSE_SEARCH)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, ask = pdf[pdf["own"]].sort_values("id"), pdf[~pdf["own"]]
-        none = pd.DataFrame({"lane": [], "id": [], "neighbour": [], "similarity": []})
+        base, ask = pdf[pdf["own"]].sort_values("id"), pdf[pdf["ask"]]
         if not len(base) or not len(ask):
-            return none
-        ids, similar = Graph(np.stack(base["v"])).query(np.stack(ask["v"]).astype(np.float32), k + 1)
-        q, j = np.nonzero(ids >= 0)
-        out = pd.DataFrame({"lane": ask["lane"].iloc[0], "id": ask["id"].to_numpy()[q], "neighbour": base["id"].to_numpy()[ids[q, j]], "similarity": similar[q, j]})
-        return out[out["id"] != out["neighbour"]]
+            return pd.DataFrame({"lane": [], "id": [], "s": [], "n": []})
+        names = base["id"].to_numpy()
+        asked = ask["id"].to_numpy()
+        found, similar = Graph(_matrix(base["v"], size), beam=build).query(_matrix(ask["v"], size), k + 1, look)
+        keep = (found >= 0) & (names[found] != asked[:, None])
+        if least is not None:
+            keep &= similar >= least
+        hits = keep.sum(1)
+        cuts = np.cumsum(hits)[:-1]
+        out = pd.DataFrame({"lane": ask["lane"].iloc[0], "id": asked, "s": np.split(-similar[keep], cuts), "n": np.split(names[found[keep]], cuts)})
+        return out[hits > 0]
 
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 4)
-    found = both.repartition(n_parts, "lane", "c", "sub", "block").groupBy("lane", "c", "sub", "block").applyInPandas(search, f"lane string, id {kind}, neighbour {kind}, similarity float")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k)
+    found = cells.repartition(n_parts, "lane", "c", "sub", "block").groupBy("lane", "c", "sub", "block").applyInPandas(search, f"lane string, id {kind}, s array<float>, n array<{kind}>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("s", "n")))), 1, k)
     merged = found.groupBy("lane", "id").agg(best.alias("_b")).select("lane", "id", F.posexplode("_b").alias("place", "_x"))
     return merged.select("lane", "id", F.col("_x.n").alias("neighbour"), (-F.col("_x.s")).alias("similarity"), (F.col("place") + 1).alias("place"))
 

@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(nearest(_read(spark, sf_dir, "vectors"), k=8), 0.90)
+    return similar_pairs(nearest(_read(spark, sf_dir, "vectors"), k=8, least=0.90), 0.90)
 
 
 def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,8 @@ def test_nearest_against_brute_force(spark):
         found = neighbours.nearest(df, k=8, size=8, shard_rows=shard, shard_queries=60)
         assert set(rows(neighbours.similar_pairs(found, 0.95), "vec_a", "vec_b")) == want
         assert found.filter("id = neighbour or place > 8").count() == 0
+        close = neighbours.nearest(df, k=8, size=8, least=0.95, shard_rows=shard, shard_queries=60)
+        assert set(rows(neighbours.similar_pairs(close, 0.95), "vec_a", "vec_b")) == want and close.filter("similarity < 0.95").count() == 0
     assert neighbours.nearest(df.limit(0), size=8).count() == 0
 
 
@@ -143,6 +145,6 @@ def test_far_nearest_against_brute_force(spark):
     sims = np.where(lanes[:, None] == lanes[None, :], unit @ unit.T, -2)
     np.fill_diagonal(sims, -2)
     want = {(i, int(j)) for i in range(4000) for j in np.argpartition(-sims[i], 5)[:5]}
-    for shard in (2000, 400):
+    for shard in (2000, 200, 40):  # 2, 20 and 100 shards
         found = set(rows(neighbours.nearest(df, k=5, shard_rows=shard), "id", "neighbour"))
         assert len(found & want) >= 0.95 * len(want)
