@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.skew import hot_threshold, skew_join
-from corvane.session import cut, spread
+from corvane.session import spread, stored
 
-#: Bits for each record, and the bounds of a filter's size: what is broadcast never exceeds MOST_BITS / 8 bytes (32 MB).
-BITS_A_RECORD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
-HASHES = 4
-SEGMENT = 1 << 13
-MERGE_GROUPS = 64
+#: Bits of a filter for each hash in it, however many there are, and hash functions of a filter.
+BITS_A_RECORD, HASHES = 16, 4
+#: Hashes of a slice of the hash range, which one task filters; bytes of filters that are broadcast at a time.
+SLICE_HASHES, MOST_FILTER_BYTES = 4_000_000, 32_000_000
+#: Distinct hashes a partition collects before it passes them on.
+HELD_HASHES = 1_000_000
 
 
 def letters_and_digits(text: str | None) -> str:
@@ -51,10 +51,11 @@ def record_key(ordered: Sequence[str] = (), swappable: Sequence[str] = (), exact
     return F.when(~blank, F.concat_ws("\u0002", *parts))
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    h = hashes.astype(np.uint64)
+def _slots(hashes: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    h = hashes.view(np.uint64)
     step = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)]).astype(np.int64)
+    last = np.asarray(bits).astype(np.uint64) - np.uint64(1)
+    return np.stack([(h + np.uint64(i) * step) & last for i in range(HASHES)]).astype(np.int64)
 
 
 def _has(filter_: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -65,60 +66,111 @@ def _add(filter_: np.ndarray, slots: np.ndarray) -> None:
     np.bitwise_or.at(filter_, (slots >> 3).ravel(), (np.uint8(1) << (slots & 7).astype(np.uint8)).ravel())
 
 
-def _partition_filters(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, again, any_rows = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8), 0
-        for pdf in batches:
-            values, counts = np.unique(pdf["h"].to_numpy(), return_counts=True)
-            if not len(values):
-                continue
-            any_rows += len(pdf)
-            slots = _slots(values, bits)
-            seen = _has(once, slots) | (counts > 1)
-            _add(again, slots[:, seen])
-            _add(once, slots)
-        if any_rows:
-            group = int(once.view(np.uint64).sum() % MERGE_GROUPS)
-            for at in range(0, bits >> 3, SEGMENT):
-                a, b = once[at : at + SEGMENT], again[at : at + SEGMENT]
-                if a.any():
-                    yield pd.DataFrame({"seg": [at // SEGMENT], "part": [group], "once": [zlib.compress(a.tobytes(), 1)], "again": [zlib.compress(b.tobytes(), 1)]})
+def _bits(n: int) -> int:
+    return max(1 << 10, 1 << (max(n, 1) * BITS_A_RECORD - 1).bit_length())
 
-    return run
 
+def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash: equal ranges, in order."""
+    return ((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once = again = None
-    for a, b in zip(pdf["once"], pdf["again"]):
-        a, b = np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)
-        once, again = (a, b) if once is None else (once | a, again | b | (once & a))
-    return pd.DataFrame({"seg": [pdf["seg"].iloc[0]], "part": [pdf["part"].iloc[0]], "once": [zlib.compress(once.tobytes(), 1)], "again": [zlib.compress(again.tobytes(), 1)]})
 
+def _partition_hashes(slices: int):
+    """Of each partition, the hashes it saw once and those it saw again, by slice."""
 
-def possible_repeats(keys: DataFrame, n: int) -> DataFrame:
-    """keys (with a long column h) plus maybe: false only where no other row has the same h.
+    def pack(once: np.ndarray, again: np.ndarray) -> pd.DataFrame:
+        edges = np.arange(slices + 1)  # sorted hashes, so slices are runs
+        at, bt = np.searchsorted(_slice_of(once, slices), edges), np.searchsorted(_slice_of(again, slices), edges)
+        own = np.flatnonzero((np.diff(at) > 0) | (np.diff(bt) > 0))
+        return pd.DataFrame({"slice": own.astype(np.int32), "once": [once[at[k] : at[k + 1]].tobytes() for k in own], "again": [again[bt[k] : bt[k + 1]].tobytes() for k in own]})
 
-    Every partition builds a filter of the hashes it saw and one of those it saw again; merging them also marks what two
-    partitions saw. A filter is of bounded size whatever n: beyond MOST_BITS / BITS_A_RECORD rows more singletons pass as
-    possible repeats, which costs shuffle but no correctness.
-    """
-    spark = keys.sparkSession
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(n, 1) * BITS_A_RECORD - 1).bit_length()))
-    schema = "seg int, part int, once binary, again binary"
-    parts = keys.select("h").mapInPandas(_partition_filters(bits), schema)
-    merged = parts.groupBy("seg", "part").applyInPandas(_merge, schema).withColumn("part", F.lit(0)).groupBy("seg").applyInPandas(_merge, schema)
-    again = np.zeros(bits >> 3, np.uint8)
-    for row in merged.select("seg", "again").toLocalIterator():
-        again[row["seg"] * SEGMENT : (row["seg"] + 1) * SEGMENT] = np.frombuffer(zlib.decompress(row["again"]), np.uint8)
-    shared = spark.sparkContext.broadcast(zlib.compress(again.tobytes(), 1))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf["h"].to_numpy().view(np.uint64))
+            size += len(pdf)
+            if size >= HELD_HASHES:
+                values, counts = np.unique(np.concatenate(held), return_counts=True)
+                yield pack(values[counts == 1], values[counts > 1])
+                held, size = [], 0
+        if size:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            yield pack(values[counts == 1], values[counts > 1])
+
+    return run
 
-    @F.pandas_udf("boolean")
-    def maybe(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        filter_ = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        for h in hashes:
-            yield pd.Series(_has(filter_, _slots(h.to_numpy(), bits)))
 
-    return keys.withColumn("maybe", maybe("h"))
+def _slice_filter(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The filter of a slice's repeated hashes. Each partition's hashes are tested against the filter of all seen before it."""
+    parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(pdf["once"], pdf["again"])]
+    bits = _bits(sum(len(a) + len(b) for a, b in parts))
+    seen, repeated = np.zeros(bits >> 3, np.uint8), []
+    for once, again in parts:
+        slots = _slots(once, bits)
+        repeated += [once[_has(seen, slots)], again]
+        _add(seen, slots)
+        _add(seen, _slots(again, bits))
+    found = np.unique(np.concatenate(repeated))
+    filter_ = np.zeros(_bits(len(found)) >> 3, np.uint8)
+    _add(filter_, _slots(found, len(filter_) * 8))
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "size": [len(filter_) if len(found) else 0], "again": [filter_.tobytes() if len(found) else b""]})
+
+
+def _membership(shared, low: int, slices: int):
+    """Whether hashes of the slices from `low` on are in the filters of their slices."""
+
+    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        flat, bits, starts = shared.value
+        for series in batches:
+            h = series.to_numpy().view(np.uint64)
+            k = _slice_of(h, slices) - low
+            out = np.zeros(len(h), bool)
+            some = np.flatnonzero(bits[k] > 0)
+            out[some] = _has(flat, _slots(h[some], bits[k[some]]) + starts[k[some]])
+            yield pd.Series(out)
+
+    return F.pandas_udf(maybe, "boolean")
+
+
+def possible_repeats(keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(possible repeats, singletons) among the rows of keys (with a long column h): a row is a singleton only if no other row has its h.
+
+    The range of hashes is cut into slices of about SLICE_HASHES. Every partition passes on, by slice, the hashes it saw once
+    and those it saw again; a slice's task merges them in a Bloom filter and makes a second filter of the repeated ones.
+    Both have BITS_A_RECORD bits a hash whatever n. The second filters meet the rows by broadcasts of at most
+    MOST_FILTER_BYTES at a time; where there are more, each broadcast serves a range of hashes of its own.
+    """
+    spark = keys.sparkSession
+    slices = max(1, -(-n // SLICE_HASHES))
+    sent = keys.select("h").mapInPandas(_partition_hashes(slices), "slice int, once binary, again binary")
+    filters = stored(sent.groupBy("slice").applyInPandas(_slice_filter, "slice int, size long, again binary"))
+    rounds, room = [[0, 0]], MOST_FILTER_BYTES
+    for r in filters.select("slice", "size").orderBy("slice").toLocalIterator():  # one number a slice
+        if r["size"] > room and rounds[-1][1] > rounds[-1][0]:
+            rounds.append([r["slice"], r["slice"]])
+            room = MOST_FILTER_BYTES
+        room -= r["size"]
+        rounds[-1][1] = r["slice"] + 1
+    rounds[-1][1] = slices
+    for a, b in zip(rounds, rounds[1:]):
+        a[1] = b[0]
+    marked = None
+    for low, high in rounds:
+        own = filters.filter((F.col("slice") >= low) & (F.col("slice") < high) & (F.col("size") > 0)) if len(rounds) > 1 else filters.filter("size > 0")
+        tables = [(r["slice"], bytes(r["again"])) for r in own.select("slice", "again").toLocalIterator()]
+        bits = np.zeros(high - low, np.int64)
+        for k, data in tables:
+            bits[k - low] = len(data) * 8
+        starts = np.concatenate([[0], np.cumsum(bits)[:-1]])
+        flat = np.frombuffer(b"".join(d for _, d in sorted(tables)), np.uint8)
+        shared = spark.sparkContext.broadcast((flat, bits, starts))
+
+        place = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * slices, 32)
+        part = keys if len(rounds) == 1 else keys.filter((place >= low) & (place < high))
+        part = part.withColumn("maybe", _membership(shared, low, slices)(F.col("h")))
+        marked = part if marked is None else marked.unionByName(part)
+    marked = stored(marked)
+    return marked.filter("maybe").drop("maybe"), marked.filter("not maybe").drop("maybe")
 
 
 def copy_groups(df: DataFrame, id_column: str, key: Column, hot_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -129,13 +181,13 @@ def copy_groups(df: DataFrame, id_column: str, key: Column, hot_rows: int = 200_
     merged Bloom filters, are shuffled and grouped by the whole key; all others are emitted as singletons. Popular groups
     are counted by partial aggregates and their members found by broadcast. An empty table gives two empty results.
     """
-    rows = cut(spread(df.select(F.col(id_column).alias("id"), key.alias("key"))).withColumn("h", F.xxhash64("key")))
+    rows = stored(spread(df.select(F.col(id_column).alias("id"), key.alias("key"))).withColumn("h", F.when(F.col("key").isNotNull(), F.xxhash64("key"))))
     keyed = rows.filter("key is not null")
     n = keyed.count()
-    marked = cut(possible_repeats(keyed, n))
-    candidates = marked.filter("maybe").select("id", "key")
-    groups = cut(candidates.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
-    alone = marked.filter("not maybe").select("id").unionByName(rows.filter("key is null").select("id"))
+    repeats, single = possible_repeats(keyed, n)
+    candidates = repeats.select("id", "key")
+    groups = stored(candidates.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    alone = single.select("id").unionByName(rows.filter("key is null").select("id"))
     records = groups.select("first_id", "copies").unionByName(alone.select(F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies")))
     several = groups.filter("copies > 1")
     members = skew_join(candidates, several, "key", "copies", F.col("id"), hot_threshold(n, hot_rows))

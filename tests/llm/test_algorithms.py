@@ -99,10 +99,14 @@ def test_swapped_fields(spark):
 
 
 def test_filters_miss_no_repeat(spark, monkeypatch):
-    monkeypatch.setattr(copies, "MOST_BITS", 1 << 16)
-    df = spark.range(20_000).select((F.col("id") % 15_000).alias("h")).repartition(7)
-    marked = copies.possible_repeats(df, 20_000)
-    assert marked.filter("h < 5000 and not maybe").count() == 0
+    df = spark.range(20_000).select(F.xxhash64(F.col("id") % 15_000).alias("h"), (F.col("id") % 15_000).alias("n")).repartition(7)
+    for slice_hashes, room, held in ((10**6, 10**8, 10**6), (1000, 10**8, 500), (1000, 3000, 10**6)):
+        monkeypatch.setattr(copies, "SLICE_HASHES", slice_hashes)
+        monkeypatch.setattr(copies, "MOST_FILTER_BYTES", room)
+        monkeypatch.setattr(copies, "HELD_HASHES", held)
+        repeats, single = copies.possible_repeats(df, 20_000)
+        assert single.filter("n < 5000").count() == 0 and repeats.count() + single.count() == 20_000
+        assert single.count() > 0.95 * 10_000  # the filters keep their bits a hash at any number of slices
 
 
 def test_graph_recall():
