@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -43,12 +44,35 @@ def test_retrieval_equals_a_full_scan():
     index = leakage.ItemIndex(texts, 12)
     for _ in range(200):
         base = rng.choice(texts)[1].split()
-        terms = list(dict.fromkeys(base[: rng.randint(3, 14)] + rng.choices(vocabulary, k=rng.randint(0, 12))))
+        words = list(dict.fromkeys(base[: rng.randint(3, 14)] + rng.choices(vocabulary, k=rng.randint(0, 12))))
+        terms = [index.vocabulary[w] for w in words if w in index.vocabulary]
         score = {}
         for t in terms:
-            for at, x in zip(index.where.get(t, []), index.weight.get(t, [])):
-                score[at] = score.get(at, 0) + x
-        assert sorted(index.retrieve(terms)) == sorted(a for a, s in score.items() if s >= 1 - 1e-9)
+            for k in range(index.first[t], index.first[t + 1]):
+                score[index.where[k]] = score.get(index.where[k], 0) + index.weight[k]
+        rows, places = index.retrieve(np.array([terms + [-1, -1], [-1, -1] + terms[::-1]]))
+        for k in (0, 1):
+            assert sorted(places[rows == k]) == sorted(a for a, s in score.items() if s >= 1 - 1e-9)
+
+
+def test_leaks_of_many_items_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(8, 40)))) for i in range(300)]
+    docs = []
+    for d in range(120):
+        w = rng.choices(words, k=rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            source = rng.choice(items)[1].split()
+            a, n = rng.randint(0, max(0, len(source) - 12)), rng.randint(10, 14)
+            w += source[a : a + n] + rng.choices(words, k=3)
+        docs.append((d, " ".join(w)))
+    grams = lambda t: {tuple(t.split()[k : k + 12]) for k in range(len(t.split()) - 11)}
+    want = sorted((d, i) for d, t in docs for i, x in items if grams(t) & grams(x))
+    for size in (10**6, 4000, 400):  # one part, some, more than one pass
+        monkeypatch.setattr(leakage, "INDEX_BYTES", size)
+        found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == want and want
 
 
 @pytest.mark.parametrize("encoding", ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437"])
