@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re as plain_re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +36,7 @@ BRACKETS = {"(": ")", "[": "]", "{": "}"}
 HANGING = set("a an the and or but of to in on at by for with from as than that which who whose because if when while into un une le la les des et ou mais de du dans par pour avec sur que qui der die das den dem ein eine und oder aber von zu mit für auf dass weil wenn el los las una y o pero del en para por con sin porque".split())
 
 WORD = re.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}]+)*")
+VISIBLE = re.compile(r"[^\s\p{Z}\p{C}­͏ᅟᅠ⠀ㅤ]")
 INVISIBLE = re.compile(r"[\s\p{Z}\p{C}­͏ᅟᅠ⠀ㅤ]+")
 
 #: What speakers who decline say they can't, won't or mayn't do, by language.
@@ -70,19 +73,38 @@ REFUSALS = [
     r"\bno (?:contiene|ofrece|incluye|permite|proporciona|menciona)\b[^.!?]*\b(?:suficiente|información|responder|respuesta)\b",
     r"\bcomo (?:asistente|modelo|inteligencia)\b[^.!?]*\bno\b|\ben tant qu['’](?:assistante?|IA|intelligence|modèle)\b[^.!?]*\b(?:pas|ne)\b|\bals (?:KI|Assistent\p{L}*|Sprachmodell)\b[^.!?]*\b(?:nicht|keine?n?)\b",
 ]
-REFUSAL = [re.compile(p, re.I) for p in REFUSALS]
+#: For each of REFUSALS words of which it needs one (of each group), so that most texts need no pattern.
+NEEDS = [
+    *["i we"] * 6,
+    "sorry", "sorry apologies unfortunately regrettably", "outside beyond", "something", "no; answer response information", "context contexts text texts passage passages document documents source sources information informations", "not; me us", "as; i my",
+    "je", "je", "je", "ne", "impossible",
+    "ich wir", "ich wir", "ich wir lehne", "leid ich", "keine",
+    "siento lamento temo disculpa perdona lamentablemente", "no", "no prefiero debo tengo", "no", "como tant als",
+]
+REFUSAL = [(re.compile(p, re.I), [set(g.split()) for g in need.split(";")]) for p, need in zip(REFUSALS, NEEDS, strict=True)]
+CUES: dict[str, list[int]] = {}
+for _k, (_, _needs) in enumerate(REFUSAL):
+    for _word in _needs[0]:
+        CUES.setdefault(_word, []).append(_k)
 #: Letters of scripts that set no space between words.
 UNBROKEN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
+LETTERS, RUNS, ALNUM = plain_re.compile(r"[^\W\d_]+"), plain_re.compile(r"[^\W_]+"), plain_re.compile(r"[^\W_]")
+#: No stand-in has more letters and digits than this.
+MOST_STAND_IN = max(map(len, STAND_INS))
+
+
 def words(text: str) -> list[str]:
-    return [w.casefold() for w in re.findall(r"[\p{L}\p{N}]+", unicodedata.normalize("NFC", text))]
+    return RUNS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).casefold())
 
 
 def is_empty(answer: str | None) -> bool:
     """Null, nothing visible, or only a stand-in for a missing value."""
     if answer is None:
         return True
+    if sum(1 for _ in zip(ALNUM.finditer(answer), range(MOST_STAND_IN + 1))) > MOST_STAND_IN:
+        return False
     seen = INVISIBLE.sub("", answer)
     core = "".join(c for c in unicodedata.normalize("NFKD", seen).casefold() if c.isalnum())
     return not core or core in STAND_INS
@@ -154,6 +176,9 @@ def copies_question(question: str, answer: str) -> bool:
             return True
     if len(q) < 2:
         return False
+    asked = set(q)
+    if sum(map(asked.__contains__, a)) < 0.85 * len(q):  # no tiling can cover more
+        return False
     long = len(a) > 4 * len(q) + 12
     covered = runs(q, a) if long else tiles(q, a)
     rest = [w for w, c in zip(a, covered) if not c]
@@ -202,7 +227,7 @@ class Structure:
             elif plain:
                 if '"' in self.open:
                     self._close('"')
-                elif not re.search(r"\d$", text[: m.start()]):
+                elif not text[m.start() - 1 : m.start()].isdecimal():
                     self.open.append('"')
 
     def _close(self, what: str) -> None:
@@ -210,70 +235,114 @@ class Structure:
             del self.open[len(self.open) - 1 - self.open[::-1].index(what) :]
 
 
+BARE_ITEM, ITEM_MARK = re.compile(r"\s*(?:\d+[.)]|[-*+•])\s*"), re.compile(r"(?m)^\s*(?:\d+[.)]|[-*+•])\s+")
+BREAKS_OFF = re.compile(r"(?:[,:;(\[{“„«–—/&=+]|\p{L}-|…)$")
+SENTENCE_END, ADDRESS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+"), re.compile(r"\S*(?:://|[\\/@]|\.\w)\S*")
+
+
 def is_truncated(answer: str) -> bool:
     """The answer breaks off: something opened isn't closed, a list item is empty, or the last sentence isn't complete."""
-    text = INVISIBLE.sub(" ", answer).strip() and answer.strip()
+    text = answer.strip() if VISIBLE.search(answer) else ""
     if not text:
         return False
     if Structure(text).open:
         return True
     lines = text.splitlines()
-    if re.fullmatch(r"\s*(?:\d+[.)]|[-*+•])\s*", lines[-1]) and len(lines) > 1:
-        return True
-    if re.search(r"(?:[,:;(\[{“„«–—/&=+]|\p{L}-|…)$", text) or (text.endswith("...") and len(words(text)) > 1):
+    if BARE_ITEM.fullmatch(lines[-1]) and len(lines) > 1:
         return True
-    last = WORD.findall(text)
-    if last and text[-1].isalnum() and last[-1].casefold() in HANGING and len(last) > 2:
+    if BREAKS_OFF.search(text[-2:]) or (text.endswith("...") and len(words(text)) > 1):
         return True
     if not text[-1].isalnum():
         return False
+    at = len(text)
+    while at and (text[at - 1].isalnum() or text[at - 1] in "'’"):
+        at -= 1
+    if text[at:].casefold() in HANGING and len(WORD.findall(text)) > 2:
+        return True
     # earlier sentences end in a full stop, this one doesn't: it isn't a style without full stops
-    prose = re.sub(r"(?m)^\s*(?:\d+[.)]|[-*+•])\s+", "", lines[-1])
-    ended = re.split(r"(?<=[.!?…])[\"'”’»)\]]*\s+", prose)
-    return len(ended) > 1 and len(WORD.findall(ended[-2])) > 2 and not re.fullmatch(r"\S*(?:://|[\\/@]|\.\w)\S*", ended[-1])
+    prose = ITEM_MARK.sub("", lines[-1])
+    ended = SENTENCE_END.split(prose)
+    return len(ended) > 1 and len(WORD.findall(ended[-2])) > 2 and not ADDRESS.fullmatch(ended[-1])
+
+
+QUOTED = re.compile(r"`[^`\n]*`|“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"")
+SCRIPTS = {name: re.compile(p) for name, p in (("Latin", r"\p{Latin}"), ("Cyrillic", r"\p{Cyrillic}"), ("Greek", r"\p{Greek}"), ("Arabic", r"\p{Arabic}"), ("Hebrew", r"\p{Hebrew}"), ("Han", r"[\p{Han}\p{Hiragana}\p{Katakana}]"), ("Hangul", r"\p{Hangul}"), ("Devanagari", r"\p{Devanagari}"), ("Thai", r"\p{Thai}"))}
+OTHER_LETTER = re.compile(r"(?V1)[\p{L}\p{M}--\p{Latin}--\p{Inherited}]")
+#: For each function word the languages that have it, as bits in the order of FUNCTION_WORDS.
+LANGUAGES_OF = {}
+for _bit, _known in enumerate(FUNCTION_WORDS.values()):
+    for _word in _known:
+        LANGUAGES_OF[_word] = LANGUAGES_OF.get(_word, 0) | 1 << _bit
 
 
 def _unquoted(text: str) -> str:
-    return re.sub(r"`[^`\n]*`|“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"", " ", text)
+    return QUOTED.sub(" ", text)
 
 
 def _script(text: str) -> str:
-    counts = {name: len(re.findall(p, text)) for name, p in (("Latin", r"\p{Latin}"), ("Cyrillic", r"\p{Cyrillic}"), ("Greek", r"\p{Greek}"), ("Arabic", r"\p{Arabic}"), ("Hebrew", r"\p{Hebrew}"), ("Han", r"[\p{Han}\p{Hiragana}\p{Katakana}]"), ("Hangul", r"\p{Hangul}"), ("Devanagari", r"\p{Devanagari}"), ("Thai", r"\p{Thai}"))}
+    if text.isascii() or not OTHER_LETTER.search(text):
+        return "Latin" if sum(1 for _ in zip(SCRIPTS["Latin"].finditer(text), range(3))) == 3 else ""
+    counts = {name: len(p.findall(text)) for name, p in SCRIPTS.items()}
     best = max(counts, key=counts.get)
     return best if counts[best] >= 3 else ""
 
 
+IN_MASK = {mask: [k for k in range(len(FUNCTION_WORDS)) if mask >> k & 1] for mask in set(LANGUAGES_OF.values())}
+
+
+def _function_words(found: list[str]) -> tuple[Counter, list[int]]:
+    """How many words are function words of which languages (as bits), and of each language."""
+    bits, each = Counter(filter(None, map(LANGUAGES_OF.get, found))), [0] * len(FUNCTION_WORDS)
+    for mask, n in bits.items():
+        for k in IN_MASK[mask]:
+            each[k] += n
+    return bits, each
+
+
 def language_scores(text: str) -> dict[str, int]:
     """How many function words of each language a text has."""
-    found = re.findall(r"\p{L}+", text.casefold())
-    return {lang: sum(w in known for w in found) for lang, known in FUNCTION_WORDS.items()}
+    return dict(zip(FUNCTION_WORDS, _function_words(LETTERS.findall(text.casefold()))[1]))
 
 
-def in_other_language(question: str, answer: str) -> bool:
+class Said:
+    """What an answer says outside quotations, and its words."""
+
+    def __init__(self, answer: str) -> None:
+        self.text = _unquoted(answer)
+        self.words = LETTERS.findall(self.text.casefold())
+
+
+def in_other_language(question: str, said: Said) -> bool:
     """The answer, apart from quotations, is written in another script or language than the question."""
-    plain = _unquoted(answer)
-    asked, given = _script(question), _script(plain)
+    asked, given = _script(question), _script(said.text)
     if asked and given and asked != given:
         return True
     if asked != "Latin" or given != "Latin":
         return False
-    q, a = language_scores(question), language_scores(plain)
-    own = max(q, key=q.get)
-    if not q[own] or sorted(q.values())[-2] >= q[own]:
+    q = _function_words(LETTERS.findall(question.casefold()))[1]
+    own = q.index(max(q))
+    if not q[own] or sorted(q)[-2] >= q[own]:
         return False
-    found = re.findall(r"\p{L}+", plain.casefold())
-    for other in a:
-        ours, theirs = FUNCTION_WORDS[own], FUNCTION_WORDS[other]
-        only_theirs, only_ours = sum(w in theirs and w not in ours for w in found), sum(w in ours and w not in theirs for w in found)
-        if other != own and a[other] >= max(3, a[own] + 1, 0.12 * len(found)) and only_theirs >= 2 and only_theirs > 2 * only_ours:
+    bits, each = _function_words(said.words)
+    for other, theirs in enumerate(each):
+        if other == own or theirs < max(3, each[own] + 1, 0.12 * len(said.words)):
+            continue
+        only_theirs = sum(n for mask, n in bits.items() if mask >> other & 1 and not mask >> own & 1)
+        only_ours = sum(n for mask, n in bits.items() if mask >> own & 1 and not mask >> other & 1)
+        if only_theirs >= 2 and only_theirs > 2 * only_ours:
             return True
     return False
 
 
-def is_refusal(answer: str) -> bool:
+def is_refusal(said: Said) -> bool:
     """The answer, apart from quotations, declines or says that it can't answer."""
-    plain = INVISIBLE.sub(" ", _unquoted(answer)).strip()
-    return any(p.search(plain) for p in REFUSAL)
+    there = set(said.words)
+    cues = there & CUES.keys()
+    likely = [p for p, needs in (REFUSAL[k] for k in sorted(set().union(*(CUES[w] for w in cues)))) if all(not g.isdisjoint(there) for g in needs)] if cues else []
+    if not likely:
+        return False
+    plain = INVISIBLE.sub(" ", said.text).strip()
+    return any(p.search(plain) for p in likely)
 
 
 def defect_of(question: str | None, answer: str | None) -> str | None:
@@ -283,9 +352,10 @@ def defect_of(question: str | None, answer: str | None) -> str | None:
     question = question or ""
     if copies_question(question, answer):
         return "copied_question"
-    if is_refusal(answer):
+    said = Said(answer)
+    if is_refusal(said):
         return "refusal"
-    if in_other_language(question, answer):
+    if in_other_language(question, said):
         return "other_language"
     return "truncated" if is_truncated(answer) else None
 
