@@ -182,6 +182,42 @@ def test_figures_and_signs_are_content():
     assert "2021" not in clean("[2020](/a) [2021](/b) [2022](/c)\n\nReal text stands here for the reader.")
 
 
+def test_rows_rest_on_the_cut(monkeypatch):
+    pages = {
+        "See [[page]]\n\n# one\n## two\n### three": ["wiki"],
+        "If a <b and c> d holds, it is fine.": [],
+        "<p>If a <i one> d holds</p>": ["html"],
+        "The file C:\\today is old.": [],
+        "\\section{A} and \\today": ["latex"],
+    }
+    assert {p: markup.languages_of(p) for p in pages} == pages
+    monkeypatch.setattr(markup, "cut_labels", lambda first, second, links: [a > b for a, b in zip(first, second)])
+    assert markup.languages_of("See [[page]]\n\n# one\n## two\n### three") == ["markdown", "wiki"]
+    near = "Set <a href='x'>it</a> as <i now> a rule."
+    doubtful = [markup.Mark(0, 0, 0, 8.0, 0.0), markup.Mark(5, 0, 0, 1.0, 1.5)]
+    assert markup.label_marks(doubtful) == [True, False] and markup.languages_of(near) == ["html"]
+    monkeypatch.undo()
+    assert markup.label_marks(doubtful) == [True, True]
+
+
+def test_code_comes_back_as_it_was():
+    code = "def f():  \n\n\n\n    return '[a](b)'\n"
+    assert markup.clean_text(f"Text **here**.\n\n```python\n{code}```\n\nMore.")[0] == f"Text here.\n\n```python\n{code}```\n\nMore."
+    assert markup.clean_text("<p>Text</p><pre>\na  \n\n\n b &lt; c</pre>")[0] == "Text\n\n```\na  \n\n\n b < c\n```"
+    own = "An \ue0000\ue001 sign and \ue000 and **bold** `x`"
+    assert markup.clean_text(own)[0] == "An \ue0000\ue001 sign and \ue000 and bold x"
+
+
+def test_costs_are_fitted_to_labelled_blocks():
+    assert markup.fit_weights(["<p>only a few words here.</p>"]) == markup.WEIGHTS
+    bodies = [f"<nav>\n<a href='/{n}'>Part {n}</a> · <a href='/x'>Up</a> · <a href='/y'>Down</a>\n</nav>\n<main>\nReal text number {n} stands here for its readers.\n</main>" for n in range(80)]
+    fitted = markup.fit_weights(bodies)
+    assert fitted != markup.WEIGHTS
+    bar, prose = "[a](/x) | [b](/y) | [c](/z)", "Real text stands here for the reader."
+    assert markup.block_costs(bar, "a | b | c", fitted)[1] > 0 == markup.block_costs(prose, prose, fitted)[1]
+    assert markup.clean_text(bar + "\n\n" + prose + " **x**", fitted)[0].startswith("Real text")
+
+
 def test_minimum_cut():
     assert markup.cut_labels([3, 0, 0], [0, 0, 2], [(0, 1, 1), (1, 2, 0.5)]) == [True, True, False]
     n = 4000
