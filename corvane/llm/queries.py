@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from corvane.llm.mojibake import repair_texts
 from corvane.llm.oracles import oracle_sql  # noqa: F401
 from corvane.llm.neighbours import nearest, similar_pairs
 from corvane.llm.pairs import broken_pairs
-from corvane.llm.split import split_plan, split_texts
+from corvane.llm.split import split_files, split_plan, split_texts
 from corvane.llm.tokenize import encode_texts
+from corvane.session import work_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +71,14 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(chunks).select("item_kind", "item_id", "piece", "words", "text")
 
 
+def p7_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies of site_docs, one after the other in large files, cut without loading a file."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    _read(spark, sf_dir, "site_docs").select("body").filter("body is not null").write.text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "length")
+    return split_files(files).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "piece", "words", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"))
 

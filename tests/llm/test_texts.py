@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -224,25 +225,63 @@ def test_minimum_cut():
     assert markup.cut_labels([5.0] + [0.0] * (n - 1), [0.0] * (n - 1) + [4.0], [(k, k + 1, 9.0) for k in range(n - 1)]) == [True] * n
 
 
+def plain_pieces(text, limit, overlap):
+    """The cutting rule over whole lists of words and ends."""
+    n, sentences, paragraphs, *_ = split.scan(text, "", "")
+    sentences = sorted(set(map(int, sentences)) | set(map(int, paragraphs)))
+    out, at = [], 0
+    while at < n > limit:
+        first = max(0, at - overlap)
+        end = min(first + limit, n)
+        if end < n:
+            for ends in (map(int, paragraphs), sentences):
+                if fits := [e for e in ends if at < e <= first + limit]:
+                    end = fits[-1]
+                    break
+        out.append((len(out), first, end - first))
+        at = end
+    longest = lambda ends: max(b - a for a, b in zip([0, *ends], [*ends, n]))
+    inner = lambda ends: [int(e) for e in ends if 0 < e < n]
+    kind = None if n <= limit else "paragraph" if longest(inner(paragraphs)) <= limit else "sentence" if longest(inner(sentences)) <= limit else "word"
+    return kind, out
+
+
 def test_ranges_give_the_same_pieces(spark, tmp_path):
     rng = random.Random(1)
     parts = ["a", "bb", " ", "\n", "\r\n", "\n \n", ". ", "! ", "é", "\xa0", "。", "yy… "]
-    for _ in range(300):
-        t = "".join(rng.choices(parts, k=rng.randint(1, 60)))
-        r = rng.randint(1, 7)
-        one, many = [split.scan(t, "", "")], [split.scan(t[a : a + r], t[a - 1 : a] if a else "", t[a + r : a + r + 1]) for a in range(0, len(t), r)]
-        assert [list(map(int, x)) if hasattr(x, "__len__") else x for x in split.stitch(one)[:3]] == [list(map(int, x)) if hasattr(x, "__len__") else x for x in split.stitch(many)[:3]]
+    for _ in range(400):
+        t = "".join(rng.choices(parts, k=rng.randint(1, 80)))
+        limit = rng.randint(1, 9)
+        overlap = rng.randint(0, limit - 1)
+        for size in (rng.randint(1, 7), rng.randint(8, 40), 1000):
+            cutter = split.Cutter(limit, overlap)
+            got = [p for _, table in split._ranges(t, size) for p in cutter.feed(*table[:5])]
+            kind, rest = cutter.finish()
+            assert (kind, got + rest) == plain_pieces(t, limit, overlap)
     text = " ".join(rng.choice(["wort", "größe", "日本語", "…ende.", "x!", "\n\n"]) for _ in range(6000))
     path = tmp_path / "big.txt"
     path.write_text(text)
-    a, b = ([r["text"] for r in split.split_files(spark, [str(path)], range_bytes=n).orderBy("piece").collect()] for n in (3000, 1 << 20))
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "short.txt").write_text("a few words")
+    files = split.file_sizes(spark, [str(path), f"file://{path.with_name('short.txt')}", str(path.with_name("empty.txt")), str(path)])
+    a, b = ([r["text"] for r in split.split_files(files, range_bytes=n).orderBy("piece").collect()] for n in (3000, 1 << 20))
     df = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, None, 0), (3, "short", 0)], "id long, text string, words int")
     c = split.split_texts(df, "id", "text", range_chars=1999).orderBy("piece").collect()
     assert a == b == [r["text"] for r in c] and max(r["words"] for r in c) <= 192
     words = [w for n, r in enumerate(c) for w in r["text"].split()[16 if n else 0 :]]
     assert words == text.split()
+    assert [r["pieces"] for r in split.split_plan(df, "id", "text", overlap=16, range_chars=777).collect()] == [len(c)]
     with pytest.raises(ValueError):
-        split.cut_points(10, [], [], 4, 4)
+        split.Cutter(4, 4)
+
+
+def test_pieces_of_a_long_file_take_linear_time(spark, tmp_path):
+    path = tmp_path / "long.txt"
+    path.write_text("Some words stand here, one after the other, and end. " * 160_000)  # 8.5 MB
+    found = split.split_files(split.file_sizes(spark, [str(path)]), range_bytes=1 << 18)
+    began = time.time()
+    assert found.agg(F.sum(F.col("words")) - 16 * (F.count("piece") - 1)).first()[0] == 1_600_000
+    assert time.time() - began < 60
 
 
 def test_boundaries(spark):
