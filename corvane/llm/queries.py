@@ -91,5 +91,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_texts(_read(spark, sf_dir, "documents")).select("doc_id", "recovery")
 
 
+def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_texts(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:].split("_")[0].isdigit()}

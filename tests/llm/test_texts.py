@@ -86,6 +86,26 @@ def test_round_trips(encoding):
         assert mojibake.repair(garble(garble("déjà vu"))) == ("déjà vu", 2)
 
 
+@pytest.mark.parametrize("read", ["latin-1", "cp1252"])
+@pytest.mark.parametrize(
+    "text,meant",
+    [
+        ("Συντακτης του κειμενου", "cp1253"), ("Συντακτης του κειμενου", "iso8859-7"), ("РЕДАКТОР", "cp1251"), ("Редактор хранит текст", "cp1251"), ("Редактор хранит текст", "koi8-r"), ("РЕДАКТОР ХРАНИТ", "iso8859-5"),
+        ("索引和搜索结果都在这里可以看到", "gbk"), ("검색 결과를 확인하고 색인을 다시 만듭니다", "euc_kr"), ("検索の結果をここで確認します", "euc_jp"),
+    ],
+)
+def test_other_alphabets_come_back(text, meant, read):
+    back = mojibake.CODECS[read][1]
+    garbled = "".join(chr(b) if b < 128 else back[b] for b in text.encode(meant))
+    assert mojibake.repair(garbled) == (text, 1)
+
+
+def test_no_wrong_alphabet():
+    for text in ("Ça ÿ", "naïve ÀÉÎ", "¡¿Ñ?", "ÄÖÜ ÄÖÜß", "Ÿ Œ", "ĄĆĘŁ ąćęł", "ÀÈÌÒÙ"):
+        assert mojibake.repair(text) == (text, 0)
+    assert mojibake.repair("日本語Ã©日本")[0] == "日本語é日本"
+
+
 def test_correct_texts_are_left_alone(spark):
     fine = ["NAVEGAÇÃO e SEÇÃO até AMANHÃ.", "Её список сборки", "检索結果を確認します。", "20 °C ± 2 with a façade of 3 “legacy” pages", "Το ευρετήριο ✓", "👩‍💻 🚀", "quotes `cafÃ©` for `café`", "d’été – l’été, “Đã lưu”", "Ångström (Å), 5 µm ©"]
     assert all(mojibake.repair(t) == (t, 0) for t in fine)
