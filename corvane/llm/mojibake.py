@@ -40,7 +40,7 @@ FREQUENCY = {
 }
 #: A letter the tables lack counts as this often. The best reading of a text's foreign words must be this much likelier a letter
 #: than the next, over so many letters at least, and no less likely than this on average.
-RARE, LEAST_LEAD, LEAST_LETTERS, LEAST_LIKELY = 0.01, 0.25, 4, -3.6
+RARE, LEAST_LEAD, LEAST_LETTERS, LEAST_LIKELY = 0.01, 0.25, 6, -3.6
 
 
 def _codec(name: str) -> tuple[dict[str, int], dict[int, str]]:
