@@ -1,9 +1,10 @@
-"""Command line: index, search, tune, qa-corpus, claims-corpus."""
+"""Command line: index, search, tune, qa-corpus, claims-corpus, report."""
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import json
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--mode", choices=pipeline.MODES, default="hybrid")
     search.add_argument("--scope", choices=pipeline.SCOPES, default="all")
     search.add_argument("--answer", action="store_true")
+    search.add_argument("--subject", default="")
     tune = verbs.add_parser("tune")
     tune.add_argument("content_dir")
     tune.add_argument("--cms", choices=sorted(content.PROFILES), default="hugo")
@@ -43,10 +45,15 @@ def parser() -> argparse.ArgumentParser:
     tune.add_argument("--overlaps", type=settings.number_list, default=list(pipeline.OVERLAPS))
     tune.add_argument("--top-k", type=int, default=5)
     tune.add_argument("--mode", choices=pipeline.MODES, default="hybrid")
+    tune.add_argument("--report")
     for name in ("qa-corpus", "claims-corpus"):
         verb = verbs.add_parser(name)
         verb.add_argument("index")
         verb.add_argument("output")
+    verb.add_argument("--claims-edits")
+    report = verbs.add_parser("report")
+    report.add_argument("run_dir")
+    report.add_argument("--output")
     return p
 
 
@@ -63,15 +70,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             rows.orderBy("rank").show(a.top_k, truncate=80)
         if a.answer:
             now = datetime.datetime.now(datetime.UTC)
-            _, answers = pipeline.search_with_answer(spark, a.index, queries, now.year + (now.timetuple().tm_yday - 1) / 365.2425, a.mode, a.top_k)
+            _, answers = pipeline.search_with_answer(spark, a.index, queries, now.year + (now.timetuple().tm_yday - 1) / 365.2425, a.mode, a.top_k, subject=a.subject)
             answers.show(1, truncate=False)
     elif a.verb == "tune":
         docs, _ = pipeline.documents(spark, a.content_dir, a.cms)
-        pipeline.tune(docs, settings.read_suite(spark, a.eval), a.chunk_sizes, a.overlaps, a.top_k, a.mode).show(100, truncate=False)
+        tried = pipeline.tune(docs, settings.read_suite(spark, a.eval), a.chunk_sizes, a.overlaps, a.top_k, a.mode).orderBy("place").collect()
+        for r in tried:
+            print(f"{r['place']}. --chunk-size {r['chunk_size']} --overlap {r['overlap']}: score {r['score']:.2f} of {r['weight']:.2f}, {r['passed']} of {r['total']} passed")
+        if a.report:
+            with open(a.report, "w", encoding="utf-8") as f:
+                json.dump([r.asDict() for r in tried], f, indent=2)
+    elif a.verb == "report":
+        text = pipeline.report_text(spark, a.run_dir)
+        with open(a.output or f"{a.run_dir}/report.md", "w", encoding="utf-8") as f:
+            f.write(text)
     else:
         name = a.verb.split("-")[0]
-        lane = store.read_lane(spark, a.index, name).drop("embedding")
-        facts.corpus_json(lane, name).write.mode("overwrite").text(a.output)
+        edits = settings.read_claim_edits(spark, a.claims_edits) if getattr(a, "claims_edits", None) else None
+        facts.corpus_json(pipeline.facts_of(spark, a.index, name, edits), name).write.mode("overwrite").text(a.output)
 
 
 if __name__ == "__main__":

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -110,17 +111,20 @@ RULES = [
 ]
 
 
-def claims_of(text: str, title: str = "", section: str | None = "", url: str = "") -> list[tuple[str, str, str, list[str], float]]:
-    """(predicate, object, evidence, tags, confidence) of a chunk, in the order of the rules."""
+COMPILED = {(r.pattern, r.flags): re.compile(r.pattern, r.flags) for group in RULES for r in group}
+
+
+def claims_of(text: str, title: str = "", section: str | None = "", url: str = "", wanted: Callable[[str], bool] = lambda predicate: True) -> list[tuple[str, str, str, list[str], float]]:
+    """(predicate, object, evidence, tags, confidence) of a chunk, in the order of the rules. Only rules of wanted predicates run."""
     about = f"{title or ''} {section or ''} {url or ''}".lower()
     skills_here = any(c in about for c in SKILL_CONTEXT) or any(h in text.lower() for h in SKILL_HINTS)
     out, seen = [], set()
     for group in RULES:
         for scope in fact_sentences(text) if group[0].scope == "sentence" else [text]:
             for rule in group:
-                if rule.predicate == "has_skill" and not skills_here:
+                if not wanted(rule.predicate) or (rule.predicate == "has_skill" and not skills_here):
                     continue
-                for m in re.finditer(rule.pattern, scope, rule.flags):
+                for m in COMPILED[rule.pattern, rule.flags].finditer(scope):
                     act = activity_of(m[1]) if "{}" in rule.predicate else ""
                     for found in rule.objects(m[2] if act else m[1]):
                         if rule.predicate == "has_skill":
@@ -132,6 +136,7 @@ def claims_of(text: str, title: str = "", section: str | None = "", url: str = "
     return out
 
 
+#: Patterns of the question–answer pairs.
 QA_DOING = re.compile(r"\b(programming|coding|software engineering|engineering|consulting|developer relations|building software)\b[^.\n]{0,120}", re.I)
 DURATION = re.compile(r"\b\d{1,2}\+?\s*years?\b|\bsince age\s+\d{1,2}\b|\bsince\s+(?:19\d{2}|20\d{2})\b", re.I)
 HAS_BEEN = re.compile(r"\b(?:i|he|she|they|the subject|[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)?)\s+has\s+been\s+([a-z][a-z\s\-]{2,40})\s+for\s+([^\n.,;]{2,50})", re.I)
@@ -189,9 +194,12 @@ def _each_chunk(chunks: DataFrame, of: Callable, columns: str, id_column: str) -
     return rows.mapInPandas(run, f"id {kind}, place int, {columns}, source_title string, source_url string, source_section string").withColumnRenamed("id", id_column)
 
 
-def extract_claims(chunks: DataFrame, id_column: str = "chunk_id") -> DataFrame:
-    """(id, place, subject, predicate, object, evidence, tags, confidence, source_…) of chunks (id, text, title, section, url)."""
-    return _each_chunk(chunks, claims_of, "predicate string, object string, evidence string, tags array<string>, confidence float", id_column).withColumn("subject", F.lit(SUBJECT))
+def extract_claims(chunks: DataFrame, id_column: str = "chunk_id", predicates: Sequence[str] | None = None) -> DataFrame:
+    """(id, place, subject, predicate, object, evidence, tags, confidence, source_…) of chunks (id, text, title, section, url).
+
+    predicates names the rules to run ("worked_for", "has_skill", "years_{}", "since_age_{}"), all by default."""
+    of = claims_of if predicates is None else functools.partial(claims_of, wanted=set(predicates).__contains__)
+    return _each_chunk(chunks, of, "predicate string, object string, evidence string, tags array<string>, confidence float", id_column).withColumn("subject", F.lit(SUBJECT))
 
 
 def extract_pairs(chunks: DataFrame, id_column: str = "chunk_id") -> DataFrame:
@@ -249,10 +257,10 @@ def apply_edits(claims: DataFrame, rules: DataFrame, adds: DataFrame, order: lis
 
 
 def parse_generated_pairs(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, question, answer, tags, confidence) from a model's JSON reply; broken JSON and blank pairs give no row."""
-    shape = "array<struct<question:string,answer:string,tags:array<string>,confidence:float>>"
-    inner = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), shape)
-    rows = df.select(id_column, F.explode(inner).alias("_e")).select(id_column, T.strip("_e.question").alias("question"), T.strip("_e.answer").alias("answer"), F.coalesce("_e.tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("_e.confidence", F.lit(0.6)).cast("float").alias("confidence"))
+    """(id, question, answer, tags, confidence) from a model's reply, which must be one JSON object with a list `qa`; any other
+    reply and blank pairs give no row."""
+    shape = "struct<qa:array<struct<question:string,answer:string,tags:array<string>,confidence:float>>>"
+    rows = df.select(id_column, F.explode(F.from_json(text, shape)["qa"]).alias("_e")).select(id_column, T.strip("_e.question").alias("question"), T.strip("_e.answer").alias("answer"), F.coalesce("_e.tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("_e.confidence", F.lit(0.6)).cast("float").alias("confidence"))
     return rows.filter("question <> '' and answer <> ''")
 
 

@@ -9,6 +9,8 @@ from corvane.functions import text as T
 from corvane.session import cut, spread
 
 K1, B = 1.2, 0.75
+#: Query terms that are written into a plan; more of them, up to MOST_TERMS, are met by a broadcast.
+LISTED_TERMS, MOST_TERMS = 1000, 1_000_000
 
 
 def postings(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,6 +43,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+def _listed(terms: DataFrame) -> list[str] | None:
+    """The distinct terms of queries, None where there are more than LISTED_TERMS of them."""
+    some = [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    if len(some) <= LISTED_TERMS:
+        return some
+    if terms.select("term").distinct().count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms: search in several sets of queries")
+    return None
+
+
 def top(scored: DataFrame, k: int | None, id_column: str, group: str = "query_id") -> DataFrame:
     """The k highest scores of each query with their rank from 1; ties by id. NaN counts as the lowest score; k None ranks all."""
     order = Window.partitionBy(group).orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), id_column)
@@ -63,8 +75,9 @@ def search_index(post: DataFrame, dl: DataFrame, queries: DataFrame, k: int = 5,
     non-positive tf are left out, as are repeated or null lengths.
     """
     terms = cut(query_terms(queries))
-    wanted = [r["term"] for r in terms.select("term").distinct().collect()]
-    valid = post.filter(F.col("term").isin(wanted)).filter("tf >= 1").select("term", id_column, "tf").distinct()
+    wanted = _listed(terms)
+    of_queries = post.filter(F.col("term").isin(wanted)) if wanted is not None else post.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    valid = of_queries.filter("tf >= 1").select("term", id_column, "tf").distinct()
     sizes = dl.select(id_column, "dl").filter("dl is not null").distinct()
     found = cut(valid)
     return top(_scored(found, sizes, terms, corpus_stats(sizes), document_frequency(found), id_column), k, id_column)
@@ -73,8 +86,15 @@ def search_index(post: DataFrame, dl: DataFrame, queries: DataFrame, k: int = 5,
 def search_texts(df: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score, rank) straight from texts: one pass keeps lengths and the counts of query terms only."""
     terms = cut(query_terms(queries))
-    wanted = F.array(*[F.lit(r["term"]) for r in terms.select("term").distinct().collect()]).cast("array<string>")
+    listed = _listed(terms)
     rows = spread(df.filter(F.col(text).isNotNull()).select(id_column, text)).select(id_column, T.tokens(text).alias("_t"))
-    rows = cut(rows.select(id_column, F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(wanted, t)).alias("_t")))
-    hits = rows.select(id_column, "dl", F.explode("_t").alias("term")).groupBy(id_column, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if listed is not None:
+        wanted = F.array(*map(F.lit, listed)).cast("array<string>")
+        rows = rows.select(id_column, F.size("_t").alias("dl"), F.filter("_t", lambda t: F.array_contains(wanted, t)).alias("_t"))
+    else:
+        rows = rows.select(id_column, F.size("_t").alias("dl"), "_t")
+    rows = cut(rows)
+    hits = rows.select(id_column, "dl", F.explode("_t").alias("term"))
+    hits = hits if listed is not None else hits.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    hits = hits.groupBy(id_column, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     return top(_scored(hits, None, terms, corpus_stats(rows), document_frequency(hits), id_column), k, id_column)

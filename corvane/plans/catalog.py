@@ -6,16 +6,17 @@ engines can be compared.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import urls as U
 from corvane.operators import answer as A
 from corvane.operators import chunking as C
-from corvane.operators import embed, evaluate, facts, lexical, ranking
+from corvane.operators import embed, evaluate, facts, lexical, ranking, report
 from corvane.plans import pipeline
 from corvane.session import cut, spread
 
@@ -252,6 +253,21 @@ def claim_lane_search(spark, sf_dir):
     return _rounded_top(ranking.claim_search(claims, asking, ranking.recency_by_url(read(spark, sf_dir, "site_docs"), NOW), 6), "claim_id")
 
 
+_QA_SEARCH = f"""WITH v AS (SELECT vec_id, item_id, embedding FROM vectors WHERE lane = 'qa_embeddings' AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x_: isnan(x_)))),
+n AS (SELECT q.vec_id::VARCHAR AS query_id, v.item_id AS qa_id, {_DOT.format('q.embedding', 'v.embedding')} AS s FROM v CROSS JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, qa_id) AS r FROM n)
+SELECT query_id, r::INT AS rank, qa_id, round(s, 6) AS score, question, {s_strip("coalesce(answer, '')")} AS answer, source_url FROM t JOIN qa USING (qa_id) WHERE r <= 6"""
+
+
+@named(_QA_SEARCH)
+def qa_lane_search(spark, sf_dir):
+    v = read(spark, sf_dir, "vectors").filter("lane = 'qa_embeddings' and size(embedding) = 64 and not exists(embedding, x -> isnan(x))")
+    lane = v.select(F.col("item_id").alias("qa_id"), "embedding")
+    asking = v.filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    found = _rounded_top(ranking.semantic_search(lane, asking, 6, "qa_id"), "qa_id")
+    return found.join(read(spark, sf_dir, "qa"), "qa_id").select("query_id", "rank", "qa_id", "score", "question", T.strip(F.coalesce("answer", F.lit(""))).alias("answer"), "source_url")
+
+
 # Text, addresses, front matter
 
 
@@ -335,9 +351,9 @@ def normalize_url_path(spark, sf_dir):
     return read(spark, sf_dir, "site_docs").withColumn("u", raw).select("doc_id", U.normal_path("u").alias("path"))
 
 
-@named(f"SELECT doc_id, len({s_words('body')})::INT AS words, {s_one_space('left(body, 60)')} AS start FROM site_docs WHERE body IS NOT NULL")
+@named(f"SELECT doc_id, len({s_words('body')})::INT AS words, md5({s_one_space('body')}) AS text_hash FROM site_docs WHERE body IS NOT NULL")
 def word_stats(spark, sf_dir):
-    return read(spark, sf_dir, "site_docs").filter("body is not null").select("doc_id", T.word_count("body").alias("words"), T.one_space(F.substring("body", 1, 60)).alias("start"))
+    return read(spark, sf_dir, "site_docs").filter("body is not null").select("doc_id", T.word_count("body").alias("words"), F.md5(T.one_space("body")).alias("text_hash"))
 
 
 @named(f"SELECT doc_id, (s.place - 1)::INT AS place, s.x AS sentence FROM (SELECT doc_id, unnest(list_transform(range(1, len(q) + 1), lambda i_: {{'place': i_, 'x': q[i_]}})) AS s FROM (SELECT doc_id, {s_sentences('text')} AS q FROM documents WHERE text IS NOT NULL))")
@@ -456,28 +472,28 @@ _ROLE_ORGS = "SELECT p_partkey AS chunk_id, replace(p_brand, '#', ' ') AS object
 _WORK_ORGS = "SELECT p_partkey AS chunk_id, p_brand AS object, 0.86::FLOAT AS confidence FROM part UNION ALL SELECT p_partkey, upper(p_type), 0.86 FROM part UNION ALL SELECT p_partkey, 'Plain Works', 0.86 FROM part"
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.extract_claims(_prose(spark, sf_dir))
+def _claims(spark: SparkSession, sf_dir: str, *predicates: str) -> DataFrame:
+    return facts.extract_claims(_prose(spark, sf_dir), predicates=predicates or None)
 
 
 @named(f"SELECT chunk_id, object, round(confidence, 2) AS confidence FROM ({_WORK_ORGS} UNION ALL {_ROLE_ORGS})")
 def claims_employers(spark, sf_dir):
-    return _claims(spark, sf_dir).filter("predicate = 'worked_for'").select("chunk_id", "object", F.round("confidence", 2).alias("confidence"))
+    return _claims(spark, sf_dir, "worked_for").select("chunk_id", "object", F.round("confidence", 2).alias("confidence"))
 
 
 @named("SELECT p_partkey AS chunk_id, 'years_programming' AS predicate, (p_size % 40 + 1)::VARCHAR || ' years' AS object FROM part UNION ALL SELECT p_partkey, 'since_age_engineering', (p_size % 30 + 8)::VARCHAR FROM part")
 def claims_experience(spark, sf_dir):
-    return _claims(spark, sf_dir).filter("predicate <> 'worked_for' and predicate <> 'has_skill'").select("chunk_id", "predicate", "object")
+    return _claims(spark, sf_dir, "years_{}", "since_age_{}").select("chunk_id", "predicate", "object")
 
 
 @named("SELECT p_partkey AS chunk_id, p_name AS object FROM part UNION ALL SELECT p_partkey, 'Rust' FROM part UNION ALL SELECT p_partkey, 'SQL' FROM part")
 def claims_skills(spark, sf_dir):
-    return _claims(spark, sf_dir).filter("predicate = 'has_skill'").select("chunk_id", "object")
+    return _claims(spark, sf_dir, "has_skill").select("chunk_id", "object")
 
 
 @named("SELECT arg_min(o, (c, n)) AS object, u AS url, count(*)::BIGINT AS copies FROM (SELECT object AS o, lower(object) AS k, '/p/' || (chunk_id % 97)::VARCHAR || '/' AS u, chunk_id AS c, 0 AS n FROM (" + _WORK_ORGS + " UNION ALL " + _ROLE_ORGS + ")) GROUP BY k, u")
 def claims_dedup(spark, sf_dir):
-    claims = _claims(spark, sf_dir).filter("predicate = 'worked_for'")
+    claims = _claims(spark, sf_dir, "worked_for")
     counts = claims.groupBy(F.lower("object").alias("_k"), F.col("source_url").alias("url")).agg(F.count(F.lit(1)).alias("copies"))
     first = facts.dedup_claims(claims, ["chunk_id", "place"]).select("object", F.lower("object").alias("_k"), F.col("source_url").alias("url"))
     return first.join(counts, ["_k", "url"]).select("object", "url", "copies")
@@ -499,7 +515,7 @@ def claims_redact(spark, sf_dir):
 
 @named(
     "WITH w AS (SELECT chunk_id, object, '/p/' || (chunk_id % 97)::VARCHAR || '/' AS url FROM (" + _WORK_ORGS + " UNION ALL " + _ROLE_ORGS + ") WHERE lower(object) <> 'plain works' AND NOT contains(lower(object), 'nova 1')), "
-    "t AS (SELECT url, lower(object) AS k FROM w WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = w.chunk_id AND 1 = 0) GROUP BY ALL) "
+    "t AS (SELECT url, lower(object) AS k FROM w GROUP BY ALL) "
     "SELECT predicate, count(*)::BIGINT AS n FROM (SELECT 'worked_for' AS predicate FROM t UNION ALL SELECT predicate FROM (SELECT DISTINCT 'years_programming' AS predicate, (p_size % 40 + 1) AS o, p_partkey % 97 AS u FROM part) UNION ALL SELECT predicate FROM (SELECT DISTINCT 'since_age_engineering' AS predicate, (p_size % 30 + 8) AS o, p_partkey % 97 AS u FROM part) UNION ALL SELECT 'knows') GROUP BY predicate"
 )
 def claims_edited(spark, sf_dir):
@@ -540,8 +556,8 @@ def fact_dense(spark, sf_dir):
 
 @named("SELECT qa_id, " + s_strip("question") + " AS question, " + s_strip("answer") + " AS answer, round(coalesce(confidence, 0.6::FLOAT), 2) AS confidence FROM qa WHERE qa_id % 5 <> 0 AND answer IS NOT NULL AND " + s_strip("answer") + " <> '' AND " + s_strip("question") + " <> ''")
 def llm_json_parse(spark, sf_dir):
-    one = F.to_json(F.array(F.struct("question", "answer", F.array(F.lit("t")).alias("tags"), "confidence")))
-    reply = F.when(F.col("qa_id") % 5 == 0, F.concat(F.lit("not json ["), "question", F.lit("]"))).otherwise(F.concat(F.lit("Here you are: "), one))
+    one = F.to_json(F.struct(F.array(F.struct("question", "answer", F.array(F.lit("t")).alias("tags"), "confidence")).alias("qa")))
+    reply = F.when(F.col("qa_id") % 5 == 0, F.concat(F.lit("Here you are: "), one)).otherwise(one)
     rows = read(spark, sf_dir, "qa").filter("answer is not null").select("qa_id", reply.alias("reply"))
     return facts.parse_generated_pairs(rows, "qa_id", "reply").select("qa_id", "question", "answer", F.round("confidence", 2).alias("confidence"))
 
@@ -571,8 +587,28 @@ def query_intents(spark, sf_dir):
     return read(spark, sf_dir, "qa").select("qa_id", A.intent("question").alias("intent"), A.is_yes_no("question").alias("yes_no"))
 
 
-@named(f"""SELECT qa_id, term FROM (SELECT DISTINCT qa_id, unnest(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^a-z0-9+/ _-]', ' ', 'g'), ' +'), lambda t_: t_ <> ''), lambda t_: CASE WHEN regexp_matches(t_, '[-/_]') THEN [t_, regexp_replace(t_, '[-/_]', '', 'g')] || regexp_split_to_array(t_, '[-/_]') ELSE [t_] END)))) AS term, question FROM qa)
-WHERE length(term) > 1 AND term NOT IN ({', '.join(map(s_lit, A.STOP_WORDS))}) AND NOT list_contains(CASE WHEN regexp_matches({s_one_space(_ASKED)}, '^does (.*?)( know | use | have | work | do )') AND len(string_split(regexp_extract({s_one_space(_ASKED)}, '^does (.*?)( know | use | have | work | do )', 1), ' ')) <= 4 THEN string_split(regexp_extract({s_one_space(_ASKED)}, '^does (.*?)( know | use | have | work | do )', 1), ' ') ELSE []::VARCHAR[] END, term)""")
+def _s_readable(q: str) -> str:
+    return s_one_space(f"regexp_replace(lower({q}), '[^a-z0-9 _+-]', ' ', 'g')")
+
+
+def _s_subject(q: str) -> str:
+    """The subject's words, by every frame."""
+    inner = [f"trim(regexp_extract({_s_readable(q)}, '^{start}(.*?)({'|'.join(ends)})', 1))" for start, ends in A.SUBJECT_FRAMES]
+    return "flatten([" + ", ".join(f"CASE WHEN {x} <> '' AND len(string_split({x}, ' ')) <= 4 THEN string_split({x}, ' ') ELSE []::VARCHAR[] END" for x in inner) + "])"
+
+
+def _s_terms(q: str) -> str:
+    plain = f"list_filter(regexp_split_to_array(regexp_replace(lower({q}), '[^a-z0-9+/ _-]', ' ', 'g'), ' +'), lambda t_: t_ <> '')"
+    every = f"list_distinct(flatten(list_transform({plain}, lambda t_: CASE WHEN regexp_matches(t_, '[-/_]') THEN [t_, regexp_replace(t_, '[-/_]', '', 'g')] || regexp_split_to_array(t_, '[-/_]') ELSE [t_] END)))"
+    return f"list_filter({every}, lambda u_: length(u_) > 1 AND u_ NOT IN ({', '.join(map(s_lit, A.STOP_WORDS))}) AND NOT list_contains({_s_subject(q)}, u_))"
+
+
+def _s_intent(q: str) -> str:
+    spoken = f"(' ' || {_s_readable(q)} || ' ')"
+    return "CASE " + " ".join(f"WHEN {_s_has(spoken, cues)} THEN {s_lit(n)}" for n, cues in A.INTENTS) + " ELSE 'generic' END"
+
+
+@named(f"SELECT qa_id, unnest({_s_terms('question')}) AS term FROM qa")
 def query_terms(spark, sf_dir):
     return read(spark, sf_dir, "qa").select("qa_id", F.explode(A.meaning_terms("question")).alias("term"))
 
@@ -594,11 +630,11 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLAIM_SENTENCE = """CASE WHEN predicate = 'worked_for' THEN 'Worked for ' || o || '.' WHEN predicate = 'has_skill' THEN 'Has skill ' || o || '.' WHEN predicate LIKE 'years!_%' ESCAPE '!' THEN o || ' of ' || replace(substr(predicate, 7), '_', ' ') || ' experience.' ELSE 'Since age ' || o || ' in ' || replace(substr(predicate, 11), '_', ' ') || '.' END"""
-_Q_FACTS = [("k", "knowledge", 1, "vector|ranking"), ("w", "work_history", 0, "worked"), ("d", "duration", 0, "programming"), ("g", "generic", 0, "tell|me|about|schema-design|schemadesign|schema|design")]
+_Q_FACTS = f"(SELECT query_id, {_s_intent('query')} AS intent, regexp_matches({_s_readable('query')}, '{A.YES_NO}') AND {_s_intent('query')} = 'knowledge' AS yes_no, {_s_terms('query')} AS terms FROM {s_values(_QUESTIONS, 'query_id, query')})"
 _SCORED = f"""WITH e AS (SELECT claim_id, predicate, source_url, confidence, {s_one_space(f"subject || ': ' || {_CLAIM_SENTENCE}")} AS text FROM (SELECT *, {s_strip('object')} AS o FROM claims WHERE object IS NOT NULL AND subject IS NOT NULL)),
-m AS (SELECT query_id, intent, yes_no, claim_id, predicate, text, source_url, confidence, string_split(terms, '|') AS terms, list_filter(string_split(terms, '|'), lambda t_: contains(lower(text), t_)) AS matched FROM e CROSS JOIN {s_values(_Q_FACTS, 'query_id, intent, yes_no, terms')}),
+m AS (SELECT query_id, intent, yes_no, claim_id, predicate, text, source_url, confidence, terms, list_filter(terms, lambda t_: contains(lower(text), t_)) AS matched FROM e CROSS JOIN {_Q_FACTS}),
 s AS (SELECT *, 0.9::DOUBLE + 1.4::DOUBLE * len(matched) / len(terms) + 0.25::DOUBLE * coalesce(least(greatest(confidence::DOUBLE, 0), 1), 0) + CASE intent WHEN 'knowledge' THEN CASE WHEN predicate = 'has_skill' THEN 0.95 WHEN predicate = 'worked_for' THEN -1.1 ELSE -0.45 END WHEN 'work_history' THEN CASE WHEN predicate = 'worked_for' THEN 0.95 WHEN predicate = 'has_skill' THEN -0.7 ELSE -0.3 END
- WHEN 'duration' THEN CASE WHEN predicate = 'worked_for' THEN -0.8 WHEN predicate = 'has_skill' THEN -0.4 ELSE 0.95 END ELSE 0.0 END + CASE WHEN yes_no = 1 AND predicate = 'has_skill' THEN 0.22 WHEN yes_no = 1 AND predicate = 'worked_for' THEN -0.2 ELSE 0.0 END AS score FROM m)"""
+ WHEN 'duration' THEN CASE WHEN predicate = 'worked_for' THEN -0.8 WHEN predicate = 'has_skill' THEN -0.4 ELSE 0.95 END ELSE 0.0 END + CASE WHEN yes_no AND predicate = 'has_skill' THEN 0.22 WHEN yes_no AND predicate = 'worked_for' THEN -0.2 ELSE 0.0 END AS score FROM m)"""
 
 
 @named(f"{_SCORED} SELECT query_id, claim_id, array_to_string(list_sort(matched), '|') AS matched, round(score, 6) AS score FROM s")
@@ -669,3 +705,55 @@ def duplicates_by_text(spark, sf_dir):
 def rating_weights(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select((F.col("p_size") % 6).cast("int").alias("r"))
     return rows.groupBy("r").agg(F.count(F.lit(1)).alias("n")).select("r", evaluate.rating_weight("r").alias("weight"), "n")
+
+
+# Reports
+
+_RUNS = "SELECT 'd' || (c_custkey % 7)::VARCHAR AS dataset_id, 'org/m:' || (c_custkey % 3)::VARCHAR AS model_id, c_custkey AS run, CASE c_custkey % 7 WHEN 0 THEN 'Large' WHEN 1 THEN 'medium' WHEN 2 THEN 'other' ELSE 'small' END AS size_tier, c_acctbal AS index_duration_s, c_custkey * 1000 AS index_size_bytes, c_nationkey * 500 AS model_cache_bytes, CASE WHEN c_nationkey > 5 THEN c_nationkey * 300 END AS model_weights_bytes, c_nationkey AS dataset_file_count, c_nationkey * 2 AS dataset_doc_count, c_custkey * 4096 AS dataset_total_bytes FROM customer"
+_SEARCHES = "SELECT 'd' || (o_custkey % 9)::VARCHAR AS dataset_id, 'org/m:' || (o_orderkey % 4)::VARCHAR AS model_id, o_totalprice AS latency_ms, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS relevance_labeled, 1.0 / (1 + o_orderkey % 5) AS mrr, CASE WHEN o_orderkey % 5 < 1 THEN 1.0 ELSE 0.0 END AS hit_at_1, 1.0 / (1 + o_orderkey % 3) AS ndcg_at_5 FROM orders"
+_JUDGED = "SELECT 'd' || (s_suppkey % 5)::VARCHAR AS dataset_id, 'org/m:' || (s_suppkey % 3)::VARCHAR AS model_id, s_nationkey % 6 AS relevance_score, s_suppkey % 6 AS grounding_score FROM supplier"
+_TIER = "CASE lower(size_tier) WHEN 'small' THEN 1 WHEN 'medium' THEN 2 WHEN 'large' THEN 3 ELSE 4 END"
+
+
+def _frame(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
+    return read(spark, sf_dir, table).selectExpr(*[c.strip() for c in re.split(r",(?![^(]*\))", sql.removeprefix("SELECT ").rsplit(" FROM ", 1)[0].replace("::VARCHAR", "").replace("(c_custkey % 7)", "string(c_custkey % 7)"))])
+
+
+@named(
+    f"""WITH i AS (SELECT dataset_id, model_id, min(size_tier) AS size_tier, count(*) AS index_runs, avg(index_duration_s) AS index_s, avg(index_size_bytes) / 1048576 AS index_mb, avg(model_cache_bytes) / 1048576 AS cache_mb, avg(coalesce(model_weights_bytes, 0)) / 1048576 AS weights_mb FROM ({_RUNS}) GROUP BY ALL),
+s AS (SELECT dataset_id, model_id, median(latency_ms) AS m, list_sort(list(latency_ms))[(round_even(0.95::DOUBLE * (count(*) - 1), 0))::INT + 1] AS p FROM ({_SEARCHES}) GROUP BY ALL),
+l AS (SELECT dataset_id, model_id, count(*) AS labelled, avg(mrr) AS mrr, avg(hit_at_1) AS hit_at_1, avg(ndcg_at_5) AS ndcg_at_5 FROM ({_SEARCHES}) WHERE relevance_labeled > 0 GROUP BY ALL),
+j AS (SELECT dataset_id, model_id, avg(relevance_score) AS r, avg(grounding_score) AS g FROM ({_JUDGED}) GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY {_TIER}, dataset_id, model_id)::INT AS place, dataset_id, replace(replace(model_id, '/', '__'), ':', '_') AS model, index_runs, round(index_s, 4) AS index_s, round(index_mb, 6) AS index_mb, round(cache_mb, 6) AS cache_mb, round(weights_mb, 6) AS weights_mb, round(coalesce(m, 0), 4) AS query_median_ms, round(coalesce(p, 0), 4) AS query_p95_ms, coalesce(labelled, 0) AS labelled,
+round(coalesce(mrr, 0)::DOUBLE, 6) AS mrr, round(coalesce(hit_at_1, 0)::DOUBLE, 6) AS hit_at_1, round(coalesce(ndcg_at_5, 0)::DOUBLE, 6) AS ndcg_at_5, round(coalesce(r, 0), 6) AS judged_relevance, round(coalesce(g, 0), 6) AS judged_grounding
+FROM i LEFT JOIN s USING (dataset_id, model_id) LEFT JOIN l USING (dataset_id, model_id) LEFT JOIN j USING (dataset_id, model_id)"""
+)
+def benchmark_report(spark, sf_dir):
+    found = report.benchmark_report(_frame(spark, sf_dir, "customer", _RUNS), _frame(spark, sf_dir, "orders", _SEARCHES), _frame(spark, sf_dir, "supplier", _JUDGED))
+    place = F.row_number().over(Window.orderBy("place"))  # one row a combination
+    return found.select(place.alias("place"), "dataset_id", report.slug("model_id").alias("model"), "index_runs", F.round("index_s", 4).alias("index_s"), *[r6(c, c) for c in ("index_mb", "cache_mb", "weights_mb")], F.round("query_median_ms", 4).alias("query_median_ms"), F.round("query_p95_ms", 4).alias("query_p95_ms"), "labelled", *[r6(c, c) for c in ("mrr", "hit_at_1", "ndcg_at_5", "judged_relevance", "judged_grounding")])
+
+
+@named(f"SELECT dataset_id, size_tier, arg_min(dataset_file_count, (model_id, run))::INT AS files, arg_min(dataset_doc_count, (model_id, run))::INT AS docs, round(arg_min(dataset_total_bytes, (model_id, run)) / 1048576, 6) AS total_mb FROM ({_RUNS}) GROUP BY dataset_id, size_tier")
+def dataset_profile(spark, sf_dir):
+    found = report.dataset_profile(_frame(spark, sf_dir, "customer", _RUNS))
+    return found.select("dataset_id", "size_tier", F.col("files").cast("int").alias("files"), F.col("docs").cast("int").alias("docs"), r6("total_mb", "total_mb"))
+
+
+@named("SELECT c.dataset, m.model, r.run::INT AS run FROM (SELECT DISTINCT c_mktsegment AS dataset FROM customer) c CROSS JOIN (SELECT DISTINCT p_brand AS model FROM part) m CROSS JOIN (VALUES (1), (2)) AS r(run)")
+def run_matrix(spark, sf_dir):
+    datasets = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dataset")).distinct()
+    return report.run_matrix(datasets, read(spark, sf_dir, "part").select(F.col("p_brand").alias("model")).distinct(), 2)
+
+
+@named("SELECT query_id, sha256('d' || 'org/m' || query_id || '[' || string_agg('{\"chunk_id\":' || chunk_id::VARCHAR || '}', ',' ORDER BY r) || ']') AS key FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS r FROM (SELECT DISTINCT query_id, chunk_id FROM search_result WHERE lane = 'judge')) WHERE r <= 5 GROUP BY query_id")
+def result_keys(spark, sf_dir):
+    hits = read(spark, sf_dir, "search_result").filter("lane = 'judge'").select("query_id", "chunk_id").distinct().withColumn("score", -F.col("chunk_id"))
+    five = lexical.top(hits, 5, "chunk_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id"))).alias("results"))
+    return five.withColumn("dataset_id", F.lit("d")).withColumn("model_id", F.lit("org/m")).select("query_id", report.result_key().alias("key"))
+
+
+@named("SELECT qa_id, CASE WHEN contains(answer, '{') AND regexp_matches(answer, '(?s)\\{.*\\}') THEN regexp_extract(answer, '(?s)(\\{.*\\})', 1) END AS object FROM (SELECT qa_id, CASE WHEN qa_id % 3 = 0 THEN 'Sure: {\"a\": {\"b\": ' || qa_id::VARCHAR || E'}}\\nDone.' ELSE question END AS answer FROM qa)")
+def json_in_replies(spark, sf_dir):
+    reply = F.when(F.col("qa_id") % 3 == 0, F.concat(F.lit('Sure: {"a": {"b": '), F.col("qa_id").cast("string"), F.lit("}}\nDone."))).otherwise(F.col("question"))
+    return read(spark, sf_dir, "qa").select("qa_id", report.outermost_json(reply).alias("object"))

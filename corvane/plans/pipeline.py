@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import answer as A
-from corvane.operators import chunking, embed, evaluate, facts, lexical, ranking
+from corvane.operators import chunking, embed, evaluate, facts, lexical, ranking, report
 from corvane.session import cut
 from corvane.sources import content, settings, store
 
@@ -64,6 +65,29 @@ def build_index(spark: SparkSession, root: str, output: str, cms: str = "hugo",
     return errors
 
 
+def facts_of(spark: SparkSession, index: str, name: str, edits: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The pairs (name "qa") or claims ("claims") of an index, drawn from its chunks anew where it has no such lane; claims with
+    edits (additions, redaction rules) applied. Without repetitions, first come first."""
+    if name in store.read_manifest(spark, index)["lanes"]:
+        found, order = store.read_lane(spark, index, name).drop("embedding"), ["qa_id" if name == "qa" else "claim_id"]
+    else:
+        chunks = store.read_lane(spark, index, "chunks").filter("granularity = 'fine'")
+        found, order = (facts.extract_pairs if name == "qa" else facts.extract_claims)(chunks), ["chunk_id", "place"]
+    if name == "qa":
+        return facts.dedup_pairs(found, order).drop(*order)
+    return (facts.apply_edits(found, edits[1], edits[0], order) if edits else facts.dedup_claims(found, order)).drop(*order)
+
+
+def report_text(spark: SparkSession, run_dir: str) -> str:
+    """The report on a folder with index_runs.csv, search_results.csv and, where results were judged, judgments.csv."""
+    rows = {name: report.read_rows(spark, path) for name in ("index_runs", "search_results", "judgments") if os.path.exists(path := f"{run_dir}/{name}.csv")}
+    if len({"index_runs", "search_results"} & rows.keys()) < 2:
+        raise FileNotFoundError(f"no runs in {run_dir}")
+    runs = rows["index_runs"] if "run" in rows["index_runs"].columns else rows["index_runs"].withColumn("run", F.lit(1))
+    table = report.benchmark_report(runs, rows["search_results"], rows.get("judgments"))
+    return "\n".join(["# Benchmark", "", "## Datasets", "", report.markdown_table(report.dataset_profile(runs), 1), "", "## Results", "", report.markdown_table(table), ""])
+
+
 def query_vectors(queries: DataFrame, make: Callable[[], embed.Embedder] = embed.hashing_embedder) -> DataFrame:
     return embed.embed_texts(queries, "query_id", "query", make).withColumnRenamed("embedding", "vector")
 

@@ -161,3 +161,10 @@ def even_sample(df: DataFrame, order: list[str], count: int) -> DataFrame:
         return numbered.drop("_n")
     step = total / count
     return numbered.filter(F.floor(F.ceil(F.col("_n") / step) * step) == F.col("_n")).filter(F.ceil(F.col("_n") / step) < count).drop("_n")
+
+
+def corpus_excerpt(df: DataFrame, files: int = 40, chars: int = 1200) -> str:
+    """The starts of evenly sampled texts (source_path, body), white space collapsed: a prompt of bounded size."""
+    rows = even_sample(df.filter(F.trim("body") != ""), ["source_path"], files)
+    start = F.trim(F.regexp_replace(F.substring(F.trim("body"), 1, chars), r"\s+", " "))
+    return "\n\n".join(f"{r['source_path']}:\n{r['t']}" for r in rows.select("source_path", start.alias("t")).orderBy("source_path").collect())

@@ -96,6 +96,9 @@ class RunSettings:
     cutoffs: tuple[int, ...] = (1, 3, 5)
     datasets: list[dict] = field(default_factory=list)
     models: list[dict] = field(default_factory=list)
+    judge: dict = field(default_factory=dict)
+    query_generation: dict = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
 
 
 def read_settings(path: str) -> RunSettings:
@@ -106,7 +109,7 @@ def read_settings(path: str) -> RunSettings:
         raise ValueError("settings need at least one dataset and one model")
     index, search = t.get("index", {}), t.get("search", {})
     cutoffs = tuple(sorted({k for k in t.get("relevance", {}).get("k", [1, 3, 5]) if isinstance(k, int) and k > 0}))
-    return RunSettings(index.get("chunk_size", 256), index.get("overlap", 32), index.get("chunk_strategy", "heading"), search.get("mode", "hybrid"), search.get("scope", "chunks"), search.get("top_k", 5), t.get("suite", {}).get("runs_per_combo", 2), cutoffs or (1, 3, 5), t["datasets"], t["models"])
+    return RunSettings(index.get("chunk_size", 256), index.get("overlap", 32), index.get("chunk_strategy", "heading"), search.get("mode", "hybrid"), search.get("scope", "chunks"), search.get("top_k", 5), t.get("suite", {}).get("runs_per_combo", 2), cutoffs or (1, 3, 5), t["datasets"], t["models"], t.get("judge", {}), t.get("query_generation", {}), {k: v for k, v in index.items() if k not in ("chunk_size", "overlap", "chunk_strategy")})
 
 
 def number_list(raw: str) -> list[int]:

@@ -1,3 +1,5 @@
+import json
+
 from corvane.operators import answer, facts
 from pyspark.sql import functions as F
 
@@ -43,10 +45,23 @@ def test_edits(spark):
 
 
 def test_generated_pairs(spark):
-    rows = spark.createDataFrame([(1, 'x [{"question": "Q?", "answer": " A ", "tags": ["t"]}] y'), (2, "broken ["), (3, None), (4, '[{"question": "", "answer": "A"}]')], "id long, reply string")
+    rows = spark.createDataFrame([(1, '{"qa": [{"question": "Q?", "answer": " A ", "tags": ["t"]}]}'), (2, "broken ["), (3, None), (4, '{"qa": [{"question": "", "answer": "A"}]}'), (5, '[{"question": "Q?", "answer": "A"}]'), (6, 'Here: {"qa": [{"question": "Q?", "answer": "A"}]}')], "id long, reply string")
     assert [(r["id"], r["question"], r["answer"], round(r["confidence"], 1)) for r in facts.parse_generated_pairs(rows, "id", "reply").collect()] == [(1, "Q?", "A", 0.6)]
 
 
+def test_written_pairs(spark):
+    chunks = spark.createDataFrame([(3, "It has 3 parts."), (1, "It runs since 2001."), (2, "Nothing here"), (4, None)], "chunk_id long, text string")
+    reply = lambda text: json.dumps({"qa": [{"question": f"What of {text}", "answer": text, "confidence": 0.9}]})
+    out = facts.generate_pairs(chunks, reply, most=1).collect()
+    assert [(r["chunk_id"], r["answer"], round(r["confidence"], 1)) for r in out] == [(1, "It runs since 2001.", 0.9)]
+
+
+def test_wanted_rules():
+    text = "Mira has been programming for 9 years. She worked for Dunlin.\nSkills: SQL"
+    assert {c[0] for c in facts.claims_of(text)} == {"years_programming", "worked_for", "has_skill"}
+    assert {c[0] for c in facts.claims_of(text, wanted={"worked_for"}.__contains__)} == {"worked_for"}
+
+
 def test_question_reading(spark):
     df = spark.createDataFrame([("Does Ann Lee know machine-learning?",), ("Who has Ann worked for?",), ("How long has Ann been coding?",), ("hello there",)], "q string")
     rows = df.select(answer.intent("q").alias("i"), answer.is_yes_no("q").alias("y"), answer.meaning_terms("q").alias("t")).collect()

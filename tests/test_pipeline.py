@@ -30,6 +30,11 @@ def test_index_search_answer(spark, tmp_path, capsys):
     assert "Acme" in text["b"] or "Globex" in text["b"]
     cli.main(["qa-corpus", out, str(tmp_path / "qa")], spark)
     assert spark.read.text(str(tmp_path / "qa")).count() == 1 + store.read_lane(spark, out, "qa").count()
+    bare = str(tmp_path / "bare")
+    cli.main(["index", str(root), "--output", bare], spark)
+    for name in ("qa", "claims"):  # drawn anew from the chunks
+        cli.main([f"{name}-corpus", bare, str(tmp_path / f"new-{name}")], spark)
+        assert spark.read.text(str(tmp_path / f"new-{name}")).count() == 1 + store.read_lane(spark, out, name).count()
     cli.main(["search", out, "shuffle", "--top-k", "2", "--answer"], spark)
     assert "/posts/shuffle/" in capsys.readouterr().out
 

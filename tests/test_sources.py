@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import chunking, evaluate, lexical
 from corvane.sources import content, settings, store
-from corvane.streaming.ingest import ingest_documents
+from corvane.streaming.ingest import current, ingest_documents
 
 FILES = {
     "posts/toml.md": '+++\ntitle = "A title"\ndate = "2024-01-02"\ndescription = "d"\ntags = ["x", "y"]\n+++\nBody **here**\n',
@@ -110,4 +111,8 @@ def test_streaming_ingest(spark, tmp_path):
     docs.withColumn("doc_id", docs.doc_id + 1).write.mode("append").parquet(source)
     ingest_documents(spark, source, "doc_id long, title string, url string, date string, body string", target, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(target + "/chunks").count() == 2
+    docs.withColumn("body", F.lit("# A\nhello again world")).write.mode("append").parquet(source)
+    ingest_documents(spark, source, "doc_id long, title string, url string, date string, body string", target, str(tmp_path / "cp")).awaitTermination()
+    assert {r["doc_id"]: "again" in r["text"] for r in current(spark, target, "chunks").collect()} == {1: True, 2: False}
+    assert current(spark, target, "doc_len").count() == 2 and current(spark, target, "postings").filter("term = 'spark'").count() == 1
     assert chunking.chunk_documents(docs).count() == 1
