@@ -145,7 +145,7 @@ def possible_repeats(keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     sent = keys.select("h").mapInPandas(_partition_hashes(slices), "slice int, once binary, again binary")
     filters = stored(sent.groupBy("slice").applyInPandas(_slice_filter, "slice int, size long, again binary"))
     rounds, room = [[0, 0]], MOST_FILTER_BYTES
-    for r in filters.select("slice", "size").orderBy("slice").toLocalIterator():  # one number a slice
+    for r in sorted(filters.select("slice", "size").collect()):  # one number a slice
         if r["size"] > room and rounds[-1][1] > rounds[-1][0]:
             rounds.append([r["slice"], r["slice"]])
             room = MOST_FILTER_BYTES
@@ -157,7 +157,7 @@ def possible_repeats(keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     marked = None
     for low, high in rounds:
         own = filters.filter((F.col("slice") >= low) & (F.col("slice") < high) & (F.col("size") > 0)) if len(rounds) > 1 else filters.filter("size > 0")
-        tables = [(r["slice"], bytes(r["again"])) for r in own.select("slice", "again").toLocalIterator()]
+        tables = [(r["slice"], bytes(r["again"])) for r in own.select("slice", "again").collect()]  # at most MOST_FILTER_BYTES
         bits = np.zeros(high - low, np.int64)
         for k, data in tables:
             bits[k - low] = len(data) * 8
