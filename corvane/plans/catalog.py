@@ -19,6 +19,7 @@ from corvane.operators import chunking as C
 from corvane.operators import embed, evaluate, facts, lexical, ranking, report
 from corvane.plans import pipeline
 from corvane.session import cut, spread
+from corvane.streaming import ingest
 
 NOW = 2026.0
 S = T.SPACE
@@ -453,7 +454,18 @@ def chunk_overlap(spark, sf_dir):
     return C.chunk_documents(_site(spark, sf_dir), 128, 8).select("doc_id", "chunk_index", "section", "text")
 
 
-@named()
+def _s_semantic(tokens: int) -> str:
+    limit = C.max_words(tokens)
+    sized = f"list_transform({s_sentences('body')}, lambda x_: {{'d': [x_], 'n': len({s_words('x_')})::INT, 'w': {_s_set('x_')}}})"
+    like = "CASE WHEN len(a_.w) = 0 OR len(b_.w) = 0 THEN 0.0 ELSE len(list_intersect(a_.w, b_.w))::DOUBLE / len(list_distinct(a_.w || b_.w)) END"
+    step = f"lambda a_, b_: CASE WHEN a_.n >= {max(limit // 3, 40)} AND (a_.n + b_.n > {limit} OR {like} < 0.14) THEN {{'d': a_.d || b_.d, 'n': b_.n, 'w': b_.w}} ELSE {{'d': a_.d[:-2] || [a_.d[-1] || ' ' || b_.d[1]], 'n': a_.n + b_.n, 'w': b_.w}} END"
+    return f"""WITH q AS (SELECT doc_id, {sized} AS q FROM site_docs WHERE body IS NOT NULL), f AS (SELECT doc_id, list_reduce(q, {step}).d AS d FROM q WHERE len(q) > 0),
+t AS (SELECT doc_id, place, d[place] AS x FROM (SELECT doc_id, unnest(range(1, len(d) + 1)) AS place, d FROM f)),
+u AS (SELECT doc_id, place, unnest(range(1, len(p) + 1)) AS n, p FROM (SELECT doc_id, place, {s_pieces('x', limit)} AS p FROM t))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, n) - 1)::INT AS chunk_index, p[n] AS text FROM u"""
+
+
+@named(_s_semantic(128))
 def semantic_chunks(spark, sf_dir):
     return C.chunk_documents(_site(spark, sf_dir), 128, 0, "semantic").select("doc_id", "chunk_index", "text")
 
@@ -642,7 +654,19 @@ def evidence_scores(spark, sf_dir):
     return A.score_evidence(_evidence(spark, sf_dir)).select("query_id", "claim_id", F.array_join(F.array_sort("matched"), "|").alias("matched"), r6("score", "score"))
 
 
-@named()
+def _s_closed(x: str) -> str:
+    return f"CASE WHEN regexp_matches({s_strip(x)}, '[.!?…]$') THEN {s_strip(x)} ELSE {s_strip(x)} || '.' END"
+
+
+@named(
+    f"""{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, claim_id) AS k FROM s),
+g AS (SELECT * FROM r WHERE k <= 12 AND round(score, 9) >= CASE intent WHEN 'knowledge' THEN 1.1 WHEN 'generic' THEN 0.95 ELSE 1.0 END AND (len(terms) = 0 OR len(matched) > 0)),
+a AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k) = 1),
+b AS (SELECT g.* FROM g JOIN a ON g.query_id = a.query_id AND g.k > a.k WHERE len(list_filter(g.matched, lambda t_: NOT list_contains(a.matched, t_))) > 0 QUALIFY row_number() OVER (PARTITION BY g.query_id ORDER BY g.k) = 1)
+SELECT i.query_id, CASE WHEN a.k IS NULL THEN {s_lit(A.NO_EVIDENCE)} ELSE {_s_closed('a.text')} || coalesce(' ' || {_s_closed('b.text')}, '') END AS text,
+CASE WHEN a.k IS NULL THEN '' WHEN b.k IS NULL OR b.source_url = a.source_url THEN a.source_url ELSE a.source_url || '|' || b.source_url END AS citations, CASE WHEN a.k IS NULL THEN 'search' ELSE 'claims' END AS lane
+FROM (SELECT DISTINCT query_id FROM s) i LEFT JOIN a ON i.query_id = a.query_id LEFT JOIN b ON i.query_id = b.query_id"""
+)
 def answers(spark, sf_dir):
     scored = A.score_evidence(_evidence(spark, sf_dir))
     best = lexical.top(scored.select("query_id", "claim_id", "score"), 12, "claim_id").select("query_id", "claim_id", "rank")
@@ -757,3 +781,12 @@ def result_keys(spark, sf_dir):
 def json_in_replies(spark, sf_dir):
     reply = F.when(F.col("qa_id") % 3 == 0, F.concat(F.lit('Sure: {"a": {"b": '), F.col("qa_id").cast("string"), F.lit("}}\nDone."))).otherwise(F.col("question"))
     return read(spark, sf_dir, "qa").select("qa_id", report.outermost_json(reply).alias("object"))
+
+
+# Streams
+
+
+@named("SELECT user_id, arg_max(t, ts) AS text FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, ts, event_type || '-' || event_id::VARCHAR AS t, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS n FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, g")
+def settled_queries(spark, sf_dir):
+    keys = read(spark, sf_dir, "events").select("user_id", "ts", F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("text"))
+    return ingest.settled_queries(keys, "3 hours").select("user_id", "text")
