@@ -188,16 +188,19 @@ def copies_question(question: str, answer: str) -> bool:
 
 
 class Structure:
-    """A pushdown parser over fences, code, brackets, quotations and tags; `open` is the stack at the end of the text."""
+    """A pushdown parser over fences, code, list items, brackets, quotations and tags; `open` is the stack at the end of the text.
 
-    TOKEN = re.compile(r"(?m)^[ \t]*(`{3,}|~{3,})|(`+)|(<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>)|([(\[{)\]}])|([“”„«»‹›「」])|(\")")
+    A list item is open until something stands in it; a mark alone at the start of a text isn't an item.
+    """
+
+    TOKEN = re.compile(r"(?m)^[ \t]*(`{3,}|~{3,})|^[ \t]*(\d+[.)]|[-*+•])[ \t]*$|(`+)|(<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>)|([(\[{)\]}])|([“”„«»‹›「」])|(\")")
     VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "empty", "null", "none"}
 
     def __init__(self, text: str) -> None:
         self.open: list[str] = []
         for m in self.TOKEN.finditer(text):
             top = self.open[-1] if self.open else ""
-            fence, tick, tag, closing, name, single, bracket, quote, plain = m.groups()
+            fence, item, tick, tag, closing, name, single, bracket, quote, plain = m.groups()
             if top[:3] in ("```", "~~~"):
                 if fence and fence[0] == top[0] and len(fence) >= len(top):
                     self.open.pop()
@@ -206,6 +209,9 @@ class Structure:
                     self.open.pop()
             elif fence:
                 self.open.append(fence)
+            elif item:
+                if m.start() and m.end() == len(text):
+                    self.open.append(item)
             elif tick:
                 self.open.append(tick)
             elif tag:
@@ -235,7 +241,7 @@ class Structure:
             del self.open[len(self.open) - 1 - self.open[::-1].index(what) :]
 
 
-BARE_ITEM, ITEM_MARK = re.compile(r"\s*(?:\d+[.)]|[-*+•])\s*"), re.compile(r"(?m)^\s*(?:\d+[.)]|[-*+•])\s+")
+ITEM_MARK = re.compile(r"(?m)^\s*(?:\d+[.)]|[-*+•])\s+")
 BREAKS_OFF = re.compile(r"(?:[,:;(\[{“„«–—/&=+]|\p{L}-|…)$")
 SENTENCE_END, ADDRESS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+"), re.compile(r"\S*(?:://|[\\/@]|\.\w)\S*")
 
@@ -247,9 +253,6 @@ def is_truncated(answer: str) -> bool:
         return False
     if Structure(text).open:
         return True
-    lines = text.splitlines()
-    if BARE_ITEM.fullmatch(lines[-1]) and len(lines) > 1:
-        return True
     if BREAKS_OFF.search(text[-2:]) or (text.endswith("...") and len(words(text)) > 1):
         return True
     if not text[-1].isalnum():
@@ -260,7 +263,7 @@ def is_truncated(answer: str) -> bool:
     if text[at:].casefold() in HANGING and len(WORD.findall(text)) > 2:
         return True
     # earlier sentences end in a full stop, this one doesn't: it isn't a style without full stops
-    prose = ITEM_MARK.sub("", lines[-1])
+    prose = ITEM_MARK.sub("", text.splitlines()[-1])
     ended = SENTENCE_END.split(prose)
     return len(ended) > 1 and len(WORD.findall(ended[-2])) > 2 and not ADDRESS.fullmatch(ended[-1])
 

@@ -122,7 +122,7 @@ def test_correct_texts_are_left_alone(spark):
         ("Where does it keep the index?", "Answer: where does it keep the index?", "copied_question"), ("Is the map of Ann needed for sites?", "Yes, the map of Ann is needed for sites.", None), ("Explain how Ann handles builds.", "Explain how Ann handles builds. Explain how Ann handles builds.", "copied_question"),
         ("What is the index?", "I'm sorry, but I can't help with that.", "refusal"), ("What is the index?", 'The server answers "Sorry, I can\'t do that" while it is locked.', None), ("Pourquoi le modèle est-il lent ?", "Je suis désolé, mais je ne peux pas répondre à cette question.", "refusal"), ("Warum ist der Index langsam?", "Diese Frage kann ich leider nicht beantworten.", "refusal"), ("What is it?", "I cannot praise the index enough: it needs it to cache pages.", None),
         ("What does the index of Ann do when it is full?", "La recherche continue de fonctionner, mais la page n’est plus dans le sommaire.", "other_language"), ("What is the page called?", "The page is called « Réglages de l’index et de la page » and sits next to it.", None),
-        ("What is the index?", "It is a table. The second part of", "truncated"), ("What is the index?", "1. Open it.\n2.", "truncated"), ("What is the index?", "Set it in `config.", "truncated"), ("What is the index?", "- one\n- two", None), ("What is the index?", "Use the name „Übersicht“, since it is there.", None), ("What is the index?", "A table, a map and a list", None), ("", "Some answer.", None), (None, "It is open (", "truncated"),
+        ("What is the index?", "It is a table. The second part of", "truncated"), ("What is the index?", "1. Open it.\n2.", "truncated"), ("What is the index?", "1. Open it.\n\n2.  \n\n", "truncated"), ("What is the index?", "1. Open it.\n2.\nClose it.", None), ("What is the index?", "7.", None), ("What is the index?", "Set it in `config.", "truncated"), ("What is the index?", "- one\n- two", None), ("What is the index?", "Use the name „Übersicht“, since it is there.", None), ("What is the index?", "A table, a map and a list", None), ("", "Some answer.", None), (None, "It is open (", "truncated"),
     ],
 )
 def test_pairs(question, answer, defect):
