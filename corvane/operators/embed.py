@@ -34,6 +34,13 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
+def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors of texts from a model's token vectors (texts, tokens, size) and its mask: the mean of the tokens that count."""
+    weight = mask[:, :, None].astype(np.float32)
+    mean = (tokens * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
 def embed_texts(df: DataFrame, id_column: str, text: Column | str, make: Callable[[], Embedder] = hashing_embedder, batch: int = 32) -> DataFrame:
     """(id, embedding) of every row, null texts as empty ones. make is called once in each worker, so a model is loaded once."""
     kind = df.schema[id_column].dataType.simpleString()

@@ -47,6 +47,17 @@ def run_matrix(datasets: DataFrame, models: DataFrame, runs: int) -> DataFrame:
     return datasets.crossJoin(F.broadcast(models)).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
 
 
+def only(df: DataFrame, column: str, wanted: Sequence[str]) -> DataFrame:
+    """The rows of the wanted ids, all where none is named; ValueError for an id that no row has."""
+    if not wanted:
+        return df
+    rows = df.filter(F.col(column).isin(list(wanted)))
+    known = {r[0] for r in rows.select(column).distinct().collect()}  # at most the ids named
+    if unknown := sorted(set(wanted) - known):
+        raise ValueError(f"unknown {column}: {', '.join(unknown)}")
+    return rows
+
+
 def tier_order(tier: Column | str) -> Column:
     at = F.array_position(F.array(*map(F.lit, TIERS)), F.lower(T.col(tier)))
     return F.when(at > 0, at).otherwise(F.lit(len(TIERS) + 1)).cast("int")

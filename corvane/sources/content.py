@@ -168,3 +168,44 @@ def corpus_excerpt(df: DataFrame, files: int = 40, chars: int = 1200) -> str:
     rows = even_sample(df.filter(F.trim("body") != ""), ["source_path"], files)
     start = F.trim(F.regexp_replace(F.substring(F.trim("body"), 1, chars), r"\s+", " "))
     return "\n\n".join(f"{r['source_path']}:\n{r['t']}" for r in rows.select("source_path", start.alias("t")).orderBy("source_path").collect())
+
+
+#: Where each content system keeps a page: the folder, and the key under which an address of its own stands.
+LAYOUT = {"hugo": "posts/", "astro": "", "docusaurus": "docs/", "eleventy": "", "jekyll": "_posts/", "mkdocs": ""}
+
+
+def render_site(pages: DataFrame, cms: str) -> DataFrame:
+    """(path, content): pages (slug, title, description, date, tags, body) as the files of a content system, for fixtures.
+
+    Front matter is TOML for Hugo, else YAML; dated posts carry their date in the name. Double quotes and line ends in fields
+    become single quotes and spaces; null fields are left out, null bodies are empty.
+    """
+    profile = PROFILES[cms]
+    plain = lambda c: F.translate(F.col(c), '"\n\r\\\\', "'  /")
+    equals = " = " if profile.toml else ": "
+    field = lambda key, c: F.concat(F.lit(f'{key}{equals}"'), plain(c), F.lit('"\n'))
+    quote = '"' if profile.toml else "'"
+    tags = F.concat(F.lit(f"tags{equals}["), F.array_join(F.transform("tags", lambda t: F.concat(F.lit(quote), F.translate(t, '"\'\n', "   "), F.lit(quote))), ", "), F.lit("]\n"))
+    parts = [field(k, k) for k in ("title", "description", "date")] + [F.when(F.size("tags") > 0, tags)]
+    if profile.override:
+        parts.append(F.concat(F.lit(f'{profile.override}: "/'), F.col("slug"), F.lit('/"\n')))
+    fence = "+++" if profile.toml else "---"
+    front = F.concat(F.lit(fence + "\n"), *[F.coalesce(x, F.lit("")) for x in parts], F.lit(fence + "\n\n"))
+    name = F.concat(F.substring("date", 1, 10), F.lit("-"), "slug") if profile.dated_posts else F.col("slug")
+    return pages.select(F.concat(F.lit(LAYOUT[cms]), name, F.lit(".md")).alias("path"), F.concat(front, F.coalesce("body", F.lit(""))).alias("content"))
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Writes (path, content) as UTF-8 files under a folder that all workers reach; how many."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(content.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

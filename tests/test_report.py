@@ -1,9 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 
 from corvane import cli
-from corvane.operators import ranking, report
+from corvane.operators import embed, ranking, report
 from corvane.sources import content, settings, store
 
 
@@ -93,3 +94,25 @@ def test_vector_search_in_blocks_and_odd_shapes(spark, monkeypatch):
             for r in ranking.semantic_search(vectors, queries, k).orderBy("query_id", "rank").collect():
                 got.setdefault(r["query_id"], []).append(r["vec_id"])
             assert got["a"] == want["a"][:k] and got["b"][0] == 2 and set(got) == {"a", "b"}
+
+
+@pytest.mark.parametrize("cms", sorted(content.PROFILES))
+def test_rendered_sites_read_back(spark, tmp_path, cms):
+    pages = [("one-page", 'A "first" page', "short", "2024-03-05", ["x", "y"], "# Head\n\nSome text."), ("two", "Second", None, "2023-01-02", [], "Plain.")]
+    df = spark.createDataFrame(pages, "slug string, title string, description string, date string, tags array<string>, body string")
+    assert content.write_files(content.render_site(df, cms), str(tmp_path)) == 2
+    docs, errors = content.parse_files(content.read_files(spark, str(tmp_path)), cms)
+    got = {r["title"]: r for r in docs.collect()}
+    assert errors.count() == 0 and set(got) == {"A 'first' page", "Second"}
+    one = got["A 'first' page"]
+    assert (one["description"], one["date"][:10], one["tags"]) == ("short", "2024-03-05", ["x", "y"]) and "Some text." in one["body"]
+    assert one["url"].endswith("one-page/")
+
+
+def test_named_ids_and_pooling(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "dataset_id string")
+    assert report.only(df, "dataset_id", []).count() == 2 and report.only(df, "dataset_id", ["b"]).count() == 1
+    with pytest.raises(ValueError):
+        report.only(df, "dataset_id", ["b", "z"])
+    pooled = embed.mean_pool(np.array([[[3.0, 0.0], [1.0, 0.0], [9.0, 9.0]], [[0.0, 0.0]] * 3]), np.array([[1, 1, 0], [0, 0, 0]]))
+    assert pooled.tolist() == [[1.0, 0.0], [0.0, 0.0]]
