@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import html.entities
-from collections import deque
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -216,6 +218,7 @@ class Page:
         self.text = t
         self.starts = [0] + [m.end() for m in LINE_END.finditer(t)]
         self.elements = self._nest(t) if "<" in t else []
+        self.places = [e[0] for e in self.elements]
         self.wiki_lines: set[int] = set()
         if "\\" in t:
             commands = [self._mark(m.start(), *((DOUBTFUL, PROSE) if not m[0].endswith("{") and IN_PATH.search(t, max(0, m.start() - 1), m.start()) else (SURE, 0.0))) for m in COMMAND.finditer(t)]
@@ -236,9 +239,10 @@ class Page:
         wiki, markdown = _spans(WIKI, plain), _spans(MARKDOWN, plain)
         if wiki and markdown:  # such as a bracketed address with an underscore
             inside = sorted(wiki)
-            markdown = [m for m in markdown if not any(a <= m[0] and m[1] <= b for a, b in inside)]
+            reach = list(accumulate((b for _, b in inside), max))  # the farthest end of all marks up to each
+            markdown = [m for m in markdown if not ((k := bisect_right(inside, (m[0], len(t)))) and reach[k - 1] >= m[1])]
         marks = [self._mark(a, SURE, 0.0) for a, _ in wiki] + [self._mark(a, 0.0, SURE) for a, _ in markdown]
-        deep = [m.start() for m in DEEP.finditer(plain)]
+        deep = {m.start() for m in DEEP.finditer(plain)}
         marks += [self._mark(a, 0.0, LEANING) for a in deep]
         if not marks:
             return
@@ -251,30 +255,31 @@ class Page:
                 self.wiki_lines.add(m.line)
 
     def _mark(self, at: int, first: float, second: float) -> Mark:
-        return Mark(at, _place(self.starts, at), self.element_at(at), first, second)
+        return Mark(at, bisect_right(self.starts, at) - 1, self.element_at(at), first, second)
 
     def element_at(self, at: int) -> int:
         """The number of the innermost element open at a place, 0 outside all."""
-        if not self.elements:
-            return 0
-        k = _place([e[0] for e in self.elements], at) if self.elements[0][0] <= at else -1
+        k = bisect_right(self.places, at) - 1
         return self.elements[k][1] if k >= 0 else 0
 
-    def _nest(self, t: str) -> list[tuple[int, int, tuple[str, ...]]]:
-        """(place, number of the element, names of the open elements) from each place on where an element opens or closes."""
-        out, open_now, n = [], [], 0
+    def _nest(self, t: str) -> list[tuple[int, int, tuple | None]]:
+        """(place, number of the element, (its name, what is around it)) from each place on where an element opens or closes."""
+        out, open_now, names, n = [], [], Counter(), 0
         for m in TAG_NAME.finditer(t):
             name = m[2].lower()
             if m[1]:
-                names = [x for x, _ in open_now]
-                if name in names:
-                    del open_now[len(names) - 1 - names[::-1].index(name) :]
+                while names[name]:
+                    inner = open_now.pop()
+                    names[inner[1][0]] -= 1
+                    if inner[1][0] == name:
+                        break
             elif not m[3] and name not in VOID:
                 n += 1
-                open_now.append((name, n))
+                names[name] += 1
+                open_now.append((n, (name, open_now[-1][1] if open_now else None)))
             else:
                 continue
-            out.append((m.end(), open_now[-1][1] if open_now else 0, tuple(x for x, _ in open_now)))
+            out.append((m.end(), *(open_now[-1] if open_now else (0, None))))
         return out
 
     def _keep(self, language: str | None, how: str, content: str, info: str = "") -> str:
@@ -310,14 +315,6 @@ def _blank(m: re.Match) -> str:
 NOT_END = re.compile(r"[^\n]")
 
 
-def _place(starts: list[int], at: int) -> int:
-    low, high = 0, len(starts)
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if starts[mid] <= at else (low, mid)
-    return low
-
-
 def languages_of(body: str) -> list[str]:
     """The markup languages of a body, in the order of LANGUAGES."""
     found = Page(body).found
@@ -397,10 +394,13 @@ def blocks_of(page: Page) -> list[Block]:
     if "markdown" in page.found:
         text = UNDERLINED.sub(lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip() + "\n", text)
     out, at = [], 0
-    places = [e[0] for e in page.elements]
     for k, (raw, start) in enumerate(zip(text.split("\n"), page.starts)):
-        e = _place(places, start + len(raw)) if places and places[0] <= start + len(raw) else -1
-        out.append(Block(raw, _tidy_line(raw, page.found, wiki_only or k in page.wiki_lines), page.elements[e][2] if e >= 0 else (), page.elements[e][1] if e >= 0 else 0))
+        e = bisect_right(page.places, start + len(raw)) - 1
+        around, path = page.elements[e][2] if e >= 0 else None, []
+        while around:
+            path.append(around[0])
+            around = around[1]
+        out.append(Block(raw, _tidy_line(raw, page.found, wiki_only or k in page.wiki_lines), tuple(reversed(path)), page.elements[e][1] if e >= 0 else 0))
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -161,18 +162,19 @@ def _alphabet(runs: list[str]) -> tuple[str, str] | None:
     """(read as, meant): the encodings by which a text's foreign words read best, judged over all of them together; None where no
     reading is a clear winner."""
     scored: list[tuple[float, tuple[str, str], tuple[str, ...]]] = []
+    times = Counter(runs)
     for name in READ_AS:
         back = CODECS[name][0]
-        own = [r for r in runs if all(c in back for c in r)]
-        if 10 * len(own) < 9 * len(runs):
+        own = [r for r in times if all(c in back for c in r)]
+        if 10 * sum(times[r] for r in own) < 9 * len(runs):
             continue
         for meant in MEANT_LEGACY:
             there = CODECS[meant][1]
             readings = tuple("".join(there[back[c]] for c in r) for r in own)
-            known = [x for r in readings if (x := _likelihood(r))]
-            letters = sum(n for _, n in known)
-            if 10 * len(known) >= 9 * len(runs) and letters >= LEAST_LETTERS:
-                scored.append((sum(x for x, _ in known) / letters, (name, meant), readings))
+            known = [(x[0] * times[r], x[1] * times[r], times[r]) for r, new in zip(own, readings) if (x := _likelihood(new))]
+            letters = sum(n for _, n, _ in known)
+            if 10 * sum(n for _, _, n in known) >= 9 * len(runs) and letters >= LEAST_LETTERS:
+                scored.append((sum(x for x, _, _ in known) / letters, (name, meant), readings))
     scored.sort(reverse=True)
     if not scored or scored[0][0] < LEAST_LIKELY:
         return None
